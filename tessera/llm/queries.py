@@ -18,6 +18,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .parity_join import classes
+
+    found = classes(read_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -68,6 +75,12 @@ def op8_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_ann_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann_scan import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .reply_trees import conversation_digests
 
