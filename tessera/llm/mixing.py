@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, row_numbers, with_range_block, word_count
 
-_KEY = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
+
+def source_key() -> Column:
+    """A name that is never null; ``s`` before real ones keeps them apart from it."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
 
 
 def size_class(size: Column) -> Column:
@@ -69,7 +72,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0,
     """
     size = F.col("size").cast("long") if "size" in docs.columns and "text" not in docs.columns else word_count(F.col("text"))
     sized = docs.select(*dict.fromkeys(["doc_id", *carry]), "source", size.alias("size"))
-    sized = materialize(sized.withColumn("key", _KEY), "sizes")
+    sized = materialize(sized.withColumn("key", source_key()), "sizes")
     targets = source_targets(sized, weights, cap)
 
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
