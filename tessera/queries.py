@@ -229,10 +229,11 @@ def vector_queries(spark, sf_dir, every=100):
     return read_table(spark, sf_dir, "embeddings").where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("qvec"))
 
 
-@register(f"SELECT vec_id::VARCHAR AS id, list_transform(v, lambda x: round(x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-9), 6)) AS vec FROM (SELECT vec_id, list_transform({V}, lambda x: 3 * x) AS v FROM embeddings)")
+@register(f"""WITH e AS (SELECT vec_id::VARCHAR AS id, list_transform({V}, lambda x: 3 * x) AS v FROM embeddings), n AS (SELECT id, v, greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-9) AS n FROM e)
+SELECT id, (unnest(range(len(v))))::INT AS d, round(unnest(v) / n, 6) AS x FROM n""")
 def vec_normalize(spark, sf_dir):
     tripled = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 3).alias("vec"))
-    return dense.store(tripled).select("id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return dense.store(tripled).select("id", F.posexplode("vec").alias("d", "x")).withColumn("x", r6("x"))
 
 
 def _vec_sql(score: str, k: int, every: int = 100) -> str:
@@ -773,24 +774,24 @@ def _quant_sql(top: int, per_row: bool) -> str:
 quantized AS (SELECT row, w, scale, list_transform(w, lambda x: least(greatest(round_even(x / scale, 0), {-top - 1}), {top})::INT) AS q FROM s)"""
 
 
-@register(f"WITH {_quant_sql(127, True)} SELECT row, q, round(scale, 9) AS scale FROM quantized")
+@register(f"WITH {_quant_sql(127, True)} SELECT row, (unnest(range(len(q))))::INT AS d, unnest(q) AS q, round(scale, 9) AS scale FROM quantized")
 def quant_int8_row(spark, sf_dir):
-    return quant.quantize(_weights(spark, sf_dir)).select("row", "q", F.round("scale", 9).alias("scale"))
+    return quant.quantize(_weights(spark, sf_dir)).select("row", F.posexplode("q").alias("d", "q"), F.round("scale", 9).alias("scale"))
 
 
-@register(f"WITH {_quant_sql(127, False)} SELECT row, q, round(scale, 9) AS scale FROM quantized")
+@register(f"WITH {_quant_sql(127, False)} SELECT row, (unnest(range(len(q))))::INT AS d, unnest(q) AS q, round(scale, 9) AS scale FROM quantized")
 def quant_int8_tensor(spark, sf_dir):
-    return quant.quantize(_weights(spark, sf_dir), 8, False).select("row", "q", F.round("scale", 9).alias("scale"))
+    return quant.quantize(_weights(spark, sf_dir), 8, False).select("row", F.posexplode("q").alias("d", "q"), F.round("scale", 9).alias("scale"))
 
 
-@register(f"WITH {_quant_sql(7, True)}, p AS (SELECT row, list_transform(range(1, 65, 2), lambda i: (q[i] + 8) + 16 * (q[i + 1] + 8)) AS p FROM quantized) SELECT row, list_transform(p, lambda b: CASE WHEN b > 127 THEN b - 256 ELSE b END::INT) AS packed FROM p")
+@register(f"WITH {_quant_sql(7, True)}, p AS (SELECT row, list_transform(range(1, 65, 2), lambda i: (q[i] + 8) + 16 * (q[i + 1] + 8)) AS p FROM quantized) SELECT row, (unnest(range(len(p))))::INT AS d, unnest(list_transform(p, lambda b: CASE WHEN b > 127 THEN b - 256 ELSE b END::INT)) AS packed FROM p")
 def quant_int4_pack(spark, sf_dir):
-    return quant.quantize(_weights(spark, sf_dir), 4).select("row", quant.pack_int4(F.col("q")).alias("packed"))
+    return quant.quantize(_weights(spark, sf_dir), 4).select("row", F.posexplode(quant.pack_int4(F.col("q"))).alias("d", "packed"))
 
 
-@register(f"WITH {_quant_sql(7, True)} SELECT row, q FROM quantized")
+@register(f"WITH {_quant_sql(7, True)} SELECT row, (unnest(range(len(q))))::INT AS d, unnest(q) AS q FROM quantized")
 def quant_int4_roundtrip(spark, sf_dir):
-    return quant.quantize(_weights(spark, sf_dir), 4).select("row", quant.unpack_int4(quant.pack_int4(F.col("q")), F.size("q")).alias("q"))
+    return quant.quantize(_weights(spark, sf_dir), 4).select("row", F.posexplode(quant.unpack_int4(quant.pack_int4(F.col("q")), F.size("q"))).alias("d", "q"))
 
 
 @register(f"WITH {_quant_sql(127, True)} SELECT row, round(list_max(list_transform(range(1, 65), lambda i: abs(w[i] - q[i] * scale))), 6) AS error, true AS small FROM quantized")
