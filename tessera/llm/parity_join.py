@@ -15,10 +15,11 @@ Candidates that share a part then need sizes in reach and a Hamming distance of
 differing shingles), and last the exact count of common shingles.
 
 Classes. Equal sets are one node. Among those that share a part, each is compared with one hub, so a group of
-n costs n comparisons; connected components follow from the links found. Only where members of a part then
-lie in different components are more of them compared, first with few more hubs, then with more, until
-every pair is compared or connected: no group is expanded into its pairs while a hub can join it, and no
-link between components is lost.
+n costs n comparisons; connected components follow from the links found. Where members of a part still lie
+in different components, blocks of them are compared by sketches in memory, and of the pairs that may link
+only a spanning forest over the components is put out to be counted; so a group of n puts out n - 1 pairs
+at most. That is repeated, with pairs that failed the count left out, until no pair of different components
+may link: no group is expanded into its pairs, and no link between components is lost.
 
 Empty and null texts have no shingles and link with nothing. Equal rows are members of one class; a null
 doc_id never names a class that has others. Extra columns are not read; an empty table gives an empty table.
@@ -30,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -122,28 +124,32 @@ def _arrays(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+
+
 def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, sid, sketch, keys) of each row; the table is written once."""
+    """(doc_id, hash of the text, n, sid, sketch, keys) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sid, marks, keys = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 u = shingle_set(text, words)
                 n.append(len(u))
                 sid.append(name_of(u) if len(u) else None)
                 marks.append(sketch(u) if len(u) else np.empty(0, np.int64))
                 keys.append(part_keys(u, num, den) if len(u) else np.empty(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), _arrays(marks), _arrays(keys)], names=["doc_id", "n", "sid", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), _arrays(marks), _arrays(keys)], names=["doc_id", "hash", "n", "sid", "sketch", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sid long, sketch array<long>, keys array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, hash long, n long, sid long, sketch array<long>, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sid, shingles) of the wanted (doc_id, sid). Few are broadcast to the scan; many are joined."""
+    """(sid, shingles) of the wanted (doc_id, hash, sid). Few are broadcast to the scan; many are joined."""
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = wanted.select("doc_id", "sid")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(side) if few else side, "doc_id").select("sid", "text")
+    side, rows = wanted.select(F.col("doc_id").alias("id"), F.col("hash").alias("text_hash"), "sid"), _rows(docs)
+    chosen = rows.join(F.broadcast(side) if few else side, rows["doc_id"].eqNullSafe(F.col("id")) & (rows["hash"] == F.col("text_hash"))).select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,63 +186,105 @@ def _plausible(num: int, den: int) -> Column:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link. ``nodes`` has sid, n, sketch, rep."""
-    x = nodes.select(F.col("sid").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("kx"), F.col("rep").alias("rx"))
-    y = nodes.select(F.col("sid").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("ky"), F.col("rep").alias("ry"))
-    kept = pairs.join(y, "b").join(x, "a").where(_plausible(num, den)).select("a", "b", "nx", "ny", "rx", "ry")
+    """(a, b, linked) of those distinct pairs (a, b) whose sketches allow a link. ``nodes`` has sid, n, sketch, rep."""
+    x = nodes.select(F.col("sid").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("kx"), F.col("rep").alias("rx"), F.col("hash").alias("hx"))
+    y = nodes.select(F.col("sid").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("ky"), F.col("rep").alias("ry"), F.col("hash").alias("hy"))
+    kept = pairs.join(y, "b").join(x, "a").where(_plausible(num, den)).select("a", "b", "nx", "ny", "rx", "ry", "hx", "hy")
     kept = materialize(kept, "plausible")
-    wanted = kept.select(F.col("rx").alias("doc_id"), F.col("a").alias("sid")).unionByName(kept.select(F.col("ry").alias("doc_id"), F.col("b").alias("sid"))).distinct()
-    sets = materialize(shingle_sets(docs, materialize(wanted, "wanted"), words), "sets")
+    wanted = kept.select(F.col("rx").alias("doc_id"), F.col("hx").alias("hash"), F.col("a").alias("sid")).unionByName(kept.select(F.col("ry").alias("doc_id"), F.col("hy").alias("hash"), F.col("b").alias("sid"))).distinct()
+    sets = materialize(shingle_sets(docs, wanted, words), "sets")
     sx, sy = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sx")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sy"))
-    common = F.size(F.array_intersect("sx", "sy"))
-    found = kept.join(sy, "b").join(sx, "a").withColumn("common", common)
-    return materialize(found.where(F.col("common") * den >= (F.col("nx") + F.col("ny") - F.col("common")) * num).select("a", "b"), "links")
+    seen = F.col("sx").isNotNull() & F.col("sy").isNotNull()
+    common = F.when(seen, F.size(F.array_intersect("sx", "sy"))).otherwise(F.raise_error(F.lit("a document of the table was not found again")).cast("int"))
+    found = kept.join(sy, "b", "left").join(sx, "a", "left").withColumn("common", common)
+    linked = F.col("common") * den >= (F.col("nx") + F.col("ny") - F.col("common")) * num
+    return materialize(found.select("a", "b", linked.alias("linked")), "verified")
 
 
 def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, sid, component_id) of each row; links are similarities of num/den or more."""
+    """(doc_id, n_shingles, sid, root, component_id) of each row; links are similarities of num/den or more.
+
+    ``sid`` names the row's set and ``root`` its class; both are null without shingles.
+    """
     small_batches(docs.sparkSession)
     table = materialize(described(docs, words, num, den), "described")
-    nodes = table.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes, "nodes")
+    shown = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("shown")  # the row that shows the set
+    nodes = table.where("n > 0").groupBy("sid").agg(shown, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = materialize(nodes.select("sid", "n", "sketch", F.col("shown.doc_id").alias("rep"), F.col("shown.hash").alias("hash")), "nodes")
     sent = table.where("n > 0").select("sid", F.explode("keys").alias("key"))
     hubs = sent.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").select("key", "hub")
     shared = materialize(sent.join(hubs, "key").distinct(), "shared")
-    pairs = shared.where("sid != hub").groupBy(F.col("hub").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("parts"))
-    links = verified(materialize(pairs.select("a", "b"), "pairs"), nodes, docs, words, num, den)
-    tried = shared.select("key", F.col("hub").alias("sid")).distinct()
-    more = 4
+    pairs = shared.where("sid != hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
+    tested = verified(materialize(pairs, "pairs"), nodes, docs, words, num, den)
     while True:
-        roots = components(links)
-        placed = shared.select("key", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        placed = materialize(placed.join(tried.withColumn("tried", F.lit(True)), ["key", "sid"], "left"), "placed")
-        # a part is open if its members lie in different components and two of them were no hubs yet
-        state = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.when(F.col("tried").isNull(), 1).otherwise(0)).alias("left"))
-        open_keys = state.where("low < high and left > 1").select("key", "left")
-        members = materialize(placed.join(open_keys, "key"), "open")
-        if members.isEmpty():
+        roots = components(tested.where("linked"))
+        placed = materialize(shared.select("key", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
+        state = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+        open_keys = state.where("low < high and size > 2").select("key", "size")  # of two, one is the hub of the other
+        pairs = materialize(forest_pairs(materialize(placed.join(open_keys, "key"), "open"), nodes, tested.where("not linked"), num, den), "pairs")
+        if pairs.isEmpty():
             break
-        # the next hubs of each part: some untried members, drawn by hash
-        fresh = members.where("tried is null").select("key", "sid", "root", F.xxhash64("sid", "key").alias("draw"))
-        picked = _smallest(fresh, more)
-        cross = picked.join(members.select("key", F.col("sid").alias("other"), F.col("root").alias("other_root")), "key").where("root != other_root")
-        pairs = cross.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
-        links = materialize(links.unionByName(verified(materialize(pairs, "pairs"), nodes, docs, words, num, den)), "links")
-        tried = materialize(tried.unionByName(picked.select("key", "sid")), "tried")
-        more *= 4
+        tested = materialize(tested.unionByName(verified(pairs, nodes, docs, words, num, den)), "tested")
     named = nodes.select("sid", "rep").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = materialize(named.join(least, "root").select("sid", "component_id"), "classes")
-    return table.select("doc_id", "n", "sid").join(final, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), "sid", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    final = materialize(named.join(least, "root").select("sid", "root", "component_id"), "classes")
+    return table.select("doc_id", "n", "sid").join(final, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), "sid", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def forest(sid: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: np.ndarray, block: np.ndarray, failed: list, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of members that may link, forming a spanning forest over their components.
 
+    Where members are of two blocks only pairs across them are looked at, as each block meets itself elsewhere.
+    """
+    label = np.unique(root, return_inverse=True)[1].copy()
+    across, out = len(np.unique(block)) > 1, []
+    lost = [set(map(int, f)) if f is not None and len(f) else None for f in failed]
+    for i in range(len(sid) - 1):
+        other = label[i + 1 :] != label[i]
+        if across:
+            other &= block[i + 1 :] != block[i]
+        at = np.flatnonzero(other) + i + 1
+        if not len(at):
+            continue
+        small, large = np.minimum(n[at], n[i]), np.maximum(n[at], n[i])
+        at, small = at[small * den >= large * num], small[small * den >= large * num]
+        apart = np.bitwise_count(sketches[at] ^ sketches[i]).sum(1, dtype=np.int64)
+        for j in at[apart * num <= small * (den - num)].tolist():
+            a, b = int(sid[i]), int(sid[j])
+            if label[j] != label[i] and not (lost[i] and b in lost[i]) and not (lost[j] and a in lost[j]):
+                out.append((a, b))
+                label[label == label[j]] = label[i]
+    return out
 
-def _smallest(rows: DataFrame, many: int) -> DataFrame:
-    """Of each key the ``many`` rows with the smallest draw; first in 64 pieces of a key, then over the pieces' best."""
-    pieces = 64
-    dealt = rows.withColumn("piece", F.pmod(F.col("sid"), F.lit(pieces)))
-    inside = dealt.withColumn("n", F.row_number().over(Window.partitionBy("key", "piece").orderBy("draw"))).where(F.col("n") <= many)
-    best = inside.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("draw"))).where(F.col("n") <= many)
-    return best.select("key", "sid", "root")
+
+def forest_pairs(members: DataFrame, nodes: DataFrame, failed: DataFrame, num: int, den: int, block_rows: int = 1_024, bucket_rows: int = 8_192) -> DataFrame:
+    """Distinct (a, b) from members (key, sid, root, size) of the parts whose members are not all connected.
+
+    A large part is cut into blocks and every two blocks meet in one unit; units are dealt to buckets, whose
+    number follows the rows, so neither a large part nor many small ones fill a task.
+    """
+    lists = failed.groupBy(F.col("b").alias("sid")).agg(F.collect_set("a").alias("failed"))
+    loaded = members.join(nodes.select("sid", "n", "sketch"), "sid").join(lists, "sid", "left")
+    blocks = F.ceil(F.col("size") / block_rows).cast("int")
+    own = loaded.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = met.select(unit.alias("unit"), "sid", "root", "n", "sketch", "block", "failed")
+    rows = members.agg(F.sum(blocks)).first()[0] or 0
+    buckets = max(1, rows // bucket_rows)
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["unit", "sid"], kind="stable")
+        unit_of, sketches = rows["unit"].to_numpy(), np.stack(rows["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
+        sid, root, n, block, lost = (rows[c].to_numpy() for c in ("sid", "root", "n", "block", "failed"))
+        ends = np.flatnonzero(np.r_[unit_of[1:] != unit_of[:-1], True]) + 1
+        found: set[tuple[int, int]] = set()
+        for x, y in zip([0, *ends[:-1]], ends, strict=True):
+            found.update(forest(sid[x:y], root[x:y], n[x:y], sketches[x:y], block[x:y], lost[x:y], num, den))
+        listed = sorted(found)
+        return pd.DataFrame({"a": np.array([a for a, _ in listed], np.int64), "b": np.array([b for _, b in listed], np.int64)})
+
+    return dealt.withColumn("bucket", F.pmod(F.col("unit"), F.lit(buckets))).groupBy("bucket").applyInPandas(compare, "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -260,7 +308,7 @@ def _one_of_repeated(docs: DataFrame, found: DataFrame, words: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, sid], names=[*batch.schema.names, "__sid"])
 
     named = docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __sid long")
-    of_sid = found.where("sid is not null").select(F.col("sid").alias("__sid"), F.col("component_id").alias("__class"), "doc_id")
+    of_sid = found.where("sid is not null").select(F.col("sid").alias("__sid"), F.col("root").alias("__class"), "doc_id")
     keeper = of_sid.groupBy("__class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__sid")).alias("k"))
     keeper = keeper.select(F.col("k.doc_id").alias("__id"), F.col("k.__sid").alias("__sid")).distinct()
     first = F.row_number().over(Window.partitionBy("doc_id", "__sid").orderBy("doc_id"))
