@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A ``materialize`` whose tables go when the block ends; what leaves the block must be written elsewhere first."""
+    folder = f"{shared_dir(spark)}/tessera/scratch-{uuid.uuid4().hex}"
+    number = itertools.count()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{next(number)}-{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and returns it read back.
 

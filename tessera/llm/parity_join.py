@@ -28,7 +28,7 @@ Sets are named by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,12 +37,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, scratch, small_batches
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 SKETCH_BITS = 1024
 #: A set of sids up to this many rows (8 bytes each) may be broadcast to filter a scan.
 BROADCAST_ROWS = 500_000
+#: So may this many part keys (8 bytes each, about 100 MB as a hash table).
+BROADCAST_KEYS = 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -160,19 +162,22 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return chosen.mapInArrow(run, "sid long, shingles array<long>").dropDuplicates(["sid"])
 
 
-def components(links: DataFrame) -> DataFrame:
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def components(links: DataFrame, keep: Keep = materialize) -> DataFrame:
     """(sid, root) for the nodes of links (a, b): the smallest sid of each connected component.
 
     Each round takes the least root among neighbours, then the root's root, so long chains shrink by
     doubling. Hubs are plain join keys, whose partitions the engine can split.
     """
-    edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    roots = materialize(edges.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("sid"), F.least("a", "least").alias("root")), "roots")
+    edges = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    roots = keep(edges.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("sid"), F.least("a", "least").alias("root")), "roots")
     while True:
         near = edges.join(roots.select(F.col("sid").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        moved = materialize(roots.join(near, roots["sid"] == near["a"]).select("sid", F.least("root", "near").alias("root"), F.col("root").alias("old")), "roots")
+        moved = keep(roots.join(near, roots["sid"] == near["a"]).select("sid", F.least("root", "near").alias("root"), F.col("root").alias("old")), "roots")
         above = moved.select(F.col("sid").alias("root"), F.col("root").alias("top"))
-        roots = materialize(moved.join(above, "root").select("sid", F.col("top").alias("root"), (F.col("top") != F.col("old")).alias("changed")), "roots")
+        roots = keep(moved.join(above, "root").select("sid", F.col("top").alias("root"), (F.col("top") != F.col("old")).alias("changed")), "roots")
         if roots.where("changed").isEmpty():
             return roots.select("sid", "root")
         roots = roots.select("sid", "root")
@@ -185,20 +190,20 @@ def _plausible(num: int, den: int) -> Column:
     return (small * den >= large * num) & (distance * num <= small * (den - num))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int, keep: Keep = materialize) -> DataFrame:
     """(a, b, linked) of those distinct pairs (a, b) whose sketches allow a link. ``nodes`` has sid, n, sketch, rep."""
     x = nodes.select(F.col("sid").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("kx"), F.col("rep").alias("rx"), F.col("hash").alias("hx"))
     y = nodes.select(F.col("sid").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("ky"), F.col("rep").alias("ry"), F.col("hash").alias("hy"))
     kept = pairs.join(y, "b").join(x, "a").where(_plausible(num, den)).select("a", "b", "nx", "ny", "rx", "ry", "hx", "hy")
-    kept = materialize(kept, "plausible")
+    kept = keep(kept, "plausible")
     wanted = kept.select(F.col("rx").alias("doc_id"), F.col("hx").alias("hash"), F.col("a").alias("sid")).unionByName(kept.select(F.col("ry").alias("doc_id"), F.col("hy").alias("hash"), F.col("b").alias("sid"))).distinct()
-    sets = materialize(shingle_sets(docs, wanted, words), "sets")
+    sets = keep(shingle_sets(docs, wanted, words), "sets")
     sx, sy = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sx")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sy"))
     seen = F.col("sx").isNotNull() & F.col("sy").isNotNull()
     common = F.when(seen, F.size(F.array_intersect("sx", "sy"))).otherwise(F.raise_error(F.lit("a document of the table was not found again")).cast("int"))
     found = kept.join(sy, "b", "left").join(sx, "a", "left").withColumn("common", common)
     linked = F.col("common") * den >= (F.col("nx") + F.col("ny") - F.col("common")) * num
-    return materialize(found.select("a", "b", linked.alias("linked")), "verified")
+    return keep(found.select("a", "b", linked.alias("linked")), "verified")
 
 
 def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -206,29 +211,37 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
 
     ``sid`` names the row's set and ``root`` its class; both are null without shingles.
     """
-    small_batches(docs.sparkSession)
-    table = materialize(described(docs, words, num, den), "described")
-    shown = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("shown")  # the row that shows the set
-    nodes = table.where("n > 0").groupBy("sid").agg(shown, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes.select("sid", "n", "sketch", F.col("shown.doc_id").alias("rep"), F.col("shown.hash").alias("hash")), "nodes")
-    sent = table.where("n > 0").select("sid", F.explode("keys").alias("key"))
-    hubs = sent.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").select("key", "hub")
-    shared = materialize(sent.join(hubs, "key").distinct(), "shared")
-    pairs = shared.where("sid != hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-    tested = verified(materialize(pairs, "pairs"), nodes, docs, words, num, den)
-    while True:
-        roots = components(tested.where("linked"))
-        placed = materialize(shared.select("key", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
-        state = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-        open_keys = state.where("low < high and size > 2").select("key", "size")  # of two, one is the hub of the other
-        pairs = materialize(forest_pairs(materialize(placed.join(open_keys, "key"), "open"), nodes, tested.where("not linked"), num, den), "pairs")
-        if pairs.isEmpty():
-            break
-        tested = materialize(tested.unionByName(verified(pairs, nodes, docs, words, num, den)), "tested")
-    named = nodes.select("sid", "rep").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = materialize(named.join(least, "root").select("sid", "root", "component_id"), "classes")
-    return table.select("doc_id", "n", "sid").join(final, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), "sid", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    with scratch(spark) as keep:
+        table = keep(described(docs, words, num, den), "described")
+        shown = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("shown")  # the row that shows the set
+        nodes = table.where("n > 0").groupBy("sid").agg(shown, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        nodes = keep(nodes.select("sid", "n", "sketch", F.col("shown.doc_id").alias("rep"), F.col("shown.hash").alias("hash")), "nodes")
+        sent = table.where("n > 0").select("sid", F.explode("keys").alias("key"))
+        # most parts are one document's: their keys alone are counted first, and only rows of the others travel with names
+        repeated = keep(sent.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "repeated")
+        few = repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        again = keep(sent.join(F.broadcast(repeated) if few else repeated, "key", "left_semi").distinct(), "again")
+        hubs = again.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").select("key", "hub")
+        shared = keep(again.join(hubs, "key"), "shared")
+        pairs = shared.where("sid != hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
+        tested = verified(keep(pairs, "pairs"), nodes, docs, words, num, den, keep)
+        while True:
+            roots = components(tested.where("linked"), keep)
+            placed = keep(shared.select("key", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
+            state = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+            open_keys = state.where("low < high and size > 2").select("key", "size")  # of two, one is the hub of the other
+            pairs = keep(forest_pairs(keep(placed.join(open_keys, "key"), "open"), nodes, tested.where("not linked"), num, den), "pairs")
+            if pairs.isEmpty():
+                break
+            tested = keep(tested.unionByName(verified(pairs, nodes, docs, words, num, den, keep)), "tested")
+        named = nodes.select("sid", "rep").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+        final = keep(named.join(least, "root").select("sid", "root", "component_id"), "classes")
+        component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+        rows = table.select("doc_id", "n", "sid").join(final, "sid", "left")
+        return materialize(rows.select("doc_id", F.col("n").alias("n_shingles"), "sid", "root", component.alias("component_id")), "members")
 
 
 def forest(sid: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: np.ndarray, block: np.ndarray, failed: list, num: int, den: int) -> list[tuple[int, int]]:
@@ -289,7 +302,7 @@ def forest_pairs(members: DataFrame, nodes: DataFrame, failed: DataFrame, num: i
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without near duplicates: of each class the row with the smallest doc_id stays, of no-shingle rows all."""
-    found = materialize(classes(docs, words, num, den), "members")
+    found = classes(docs, words, num, den)
     rows = found.count()
     if found.select("doc_id").distinct().count() == rows and found.where("doc_id is null").isEmpty():
         gone = found.where("doc_id != component_id").select("doc_id")
