@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import hashed_sample, materialize, small_batches
 
 RESULT = "query_id long, vec_id long, score double"
 
@@ -115,7 +115,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, max_sample: int = 16_384,
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, total = int(sizes["dims"]), int(sizes["count"])
     clean = clean.where(F.size("v") == dims)
-    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).collect()  # bounded by max_sample
+    sample = hashed_sample(clean, "vec_id", max_sample, total).collect()  # bounded by max_sample
     x = np.array([r["v"] for r in sample])
     rotation = np.linalg.qr(np.random.default_rng(11).standard_normal((dims, dims)))[0]
     x = x @ rotation
