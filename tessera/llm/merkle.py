@@ -65,26 +65,31 @@ def locate(a: Column, b: Column) -> Column:
     )
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(id, absent, hash, text): a null doc_id is id 0 and absent, so that joins and windows share one partitioning."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("absent"), F.xxhash64(text).alias("hash"), text.alias("text"))
+
+
+KEY = ["id", "absent", "hash"]
+
+
 def next_documents(docs: DataFrame) -> DataFrame:
-    """(id, hash, n_chars, next_id, next_hash) of each distinct document, without a single task over rows.
+    """(id, absent, hash, n_chars, next) of each distinct document, without a single task over rows.
 
     Ids are range-partitioned; inside a block the next row is at hand, and a block's last row gets the first
     row of the next block from a table with one row per block.
     """
-    slim = docs.groupBy("id", "hash").agg(F.first("n_chars").alias("n_chars"))
-    order = (F.col("id").asc_nulls_first(), F.col("hash").asc())
+    slim = docs.groupBy(*KEY).agg(F.first("n_chars").alias("n_chars"))
+    order = (F.col("absent").desc(), F.col("id").asc(), F.col("hash").asc())
     ranged = with_range_block(slim, *order)
-    at = F.struct(F.col("id").isNotNull().alias("has"), "id", "hash")
+    at = F.struct((~F.col("absent")).alias("present"), "id", "hash")
     firsts = ranged.groupBy("block").agg(F.min(at).alias("first"))
     over = Window.orderBy("block")
     wrap = F.min("first").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     following = firsts.select("block", F.coalesce(F.lead("first").over(over), wrap).alias("following"))
     inside = F.lead(at).over(Window.partitionBy("block").orderBy(*order))
-    return (
-        ranged.withColumn("inside", inside).join(following, "block")
-        .withColumn("next", F.coalesce("inside", "following"))
-        .select("id", "hash", "n_chars", F.col("next.id").alias("next_id"), F.col("next.hash").alias("next_hash"))
-    )
+    return ranged.withColumn("inside", inside).join(following, "block").select(*KEY, "n_chars", F.coalesce("inside", "following").alias("next"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -93,32 +98,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The texts are shuffled once, to meet their neighbour's id; then each sends the first characters and the
     leaves that its predecessor needs.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
-    order = next_documents(base.select("id", "hash", F.length("text").alias("n_chars")))
-    order = materialize(order, "order")
+    base = keyed(docs)
+    order = materialize(next_documents(base.select(*KEY, F.length("text").alias("n_chars"))), "order")
     before = order.select(
-        F.col("next_id").alias("id"), F.col("next_hash").alias("hash"), F.col("id").alias("to_id"), F.col("hash").alias("to_hash"),
-        F.floor(F.col("n_chars") / 4).cast("int").alias("quarter"),
+        F.col("next.id").alias("id"), (~F.col("next.present")).alias("absent"), F.col("next.hash").alias("hash"),
+        F.struct(*KEY).alias("to"), F.floor(F.col("n_chars") / 4).cast("int").alias("quarter"),
     )
-    row = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["hash"] == b["hash"])
-    met = base.join(before, row(base, before)).select(base["id"], base["hash"], "text", "to_id", "to_hash", "quarter")
-    one = F.row_number().over(Window.partitionBy("id", "hash").orderBy("id"))
-    sent = met.withColumn("one", one).where("one = 1").select(
-        F.col("to_id").alias("id"), F.col("to_hash").alias("hash"),
+    one = F.row_number().over(Window.partitionBy(*KEY).orderBy("hash"))
+    met = base.join(before, KEY).withColumn("one", one).where("one = 1")
+    sent = met.select(
+        "to.id", "to.absent", "to.hash",
         F.substring("text", F.lit(1), F.col("quarter")).alias("prefix"), root(F.col("text")).alias("next_root"), leaves(F.col("text")).alias("next_leaves"),
     )
-    pairs = base.join(sent, row(base, sent)).select(base["id"], "text", "prefix", "next_root", "next_leaves").withColumn("n_chars", F.length("text"))
+    pairs = base.join(sent, KEY).withColumn("n_chars", F.length("text"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - quarter), "prefix"))
     trees = edited.select(
-        "id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
+        F.when(~F.col("absent"), F.col("id")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
         root(F.col("text")).alias("fingerprint"), root(F.col("edited")).alias("edited_fingerprint"), "next_root",
         leaves(F.col("text")).alias("leaves"), leaves(F.col("edited")).alias("edited_leaves"), "next_leaves",
     )
     c = F.col
     return trees.select(
-        c("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(c("fingerprint"), c("edited_fingerprint"), c("leaves"), c("edited_leaves")).alias("near_edited"),
         likeness(c("fingerprint"), c("next_root"), c("leaves"), c("next_leaves")).alias("near_next"),
     )
