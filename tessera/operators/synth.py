@@ -74,4 +74,4 @@ def questions_in_stream_order(texts: DataFrame, per_text: int = 3, seed: int = 0
             rows += [(doc_id, i + 1, q, [a], kind, s) for i, (q, a, kind, s) in enumerate(found[:per_text])]
         return pd.DataFrame(rows, columns=["doc_id", "rank", "question", "answers", "type", "context"])
 
-    return texts.select("doc_id", "text").groupBy(F.lit(0)).applyInPandas(make, "doc_id long, rank int, question string, answers array<string>, type string, context string")
+    return texts.select("doc_id", "text", F.lit(0).alias("stream")).groupBy("stream").applyInPandas(make, "doc_id long, rank int, question string, answers array<string>, type string, context string")

@@ -110,7 +110,7 @@ def test_tracing(spark):
     out = t.export_json()["spans"]
     assert out[0]["name"] == "a" and out[0]["children"][0]["name"] == "b" and out[0]["end"] is not None
     assert [(r.name, r.depth) for r in tracing.tree(t.table(spark)).orderBy("path").collect()] == [("a", 0), ("b", 1)]
-    assert tracing.html(t.table(spark)).first()["page"].count("<div") == 4
+    assert tracing.html(t.table(spark)).first()["page"].count("<div") == 6
     assert "No spans" in tracing.html(t.table(spark).limit(0)).first()["page"]
 
 
