@@ -11,15 +11,15 @@ least, and p exceeds d + 1 so that the emptiest parts are never sent. Sizes are
 use the same p; a document within reach of the band below is sent there too. This loses no pair.
 
 Candidates that share a part then need sizes in reach and a Hamming distance of at most d between
-1,024-bit parity sketches (each shingle flips one bit, so that distance is a lower bound of the number of
-differing shingles), and last the exact count of common shingles.
+parity sketches (each shingle flips one bit, so that distance is a lower bound of the number of
+differing shingles; the bits follow d, 1,024 at least, and longer sketches fold to shorter ones), and last the exact count of common shingles.
 
 Classes. Equal sets are one node. Among those that share a part, each is compared with one hub, so a group of
 n costs n comparisons; connected components follow from the links found. Where members of a part still lie
 in different components, blocks of them are compared by sketches in memory, and of the pairs that may link
 only a spanning forest over the components is put out to be counted; so a group of n puts out n - 1 pairs
-at most. That is repeated, with pairs that failed the count left out, until no pair of different components
-may link: no group is expanded into its pairs, and no link between components is lost.
+at most. That is repeated, with pairs that failed the count left out and with more forests at a time, until no
+pair of different components may link: no group is expanded into its pairs, and no link between components is lost.
 
 Empty and null texts have no shingles and link with nothing. Equal rows are members of one class; a null
 doc_id never names a class that has others. Extra columns are not read; an empty table gives an empty table.
@@ -28,6 +28,7 @@ Sets are named by 64-bit hashes.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import materialize, scratch, small_batches
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-SKETCH_BITS = 1024
+SKETCH_BITS, SKETCH_FACTOR = 1024, 8
 #: A set of sids up to this many rows (8 bytes each) may be broadcast to filter a scan.
 BROADCAST_ROWS = 500_000
 #: So may this many part keys (8 bytes each, about 100 MB as a hash table).
@@ -107,12 +108,24 @@ def part_keys(u: np.ndarray, num: int, den: int, spare: float = 0.3) -> np.ndarr
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
-def sketch(u: np.ndarray) -> np.ndarray:
-    """Parity of the shingles at each of SKETCH_BITS positions, as 64-bit words."""
-    odd = np.bincount((u & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def sketch_bits(size: int, num: int, den: int) -> int:
+    """A power of two, about SKETCH_FACTOR to twice that many bits for each element that may differ."""
+    return max(SKETCH_BITS, 1 << (SKETCH_FACTOR * differing(size, num, den)).bit_length())
+
+
+def sketch(u: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Parity of the shingles at each of ``bits`` positions, as 64-bit words; XOR of its halves is the sketch of half the bits."""
+    odd = np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fold(words: np.ndarray, length: int) -> np.ndarray:
+    """The sketch with ``length`` words."""
+    while len(words) > length:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def name_of(u: np.ndarray) -> int:
     """The set's name: parity of scrambled hashes, with the size."""
     total = np.array([np.bitwise_xor.reduce(mix(u * _M2 + np.uint64(1)))]) + np.array([len(u)], np.uint64) * _M3
@@ -140,7 +153,7 @@ def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 u = shingle_set(text, words)
                 n.append(len(u))
                 sid.append(name_of(u) if len(u) else None)
-                marks.append(sketch(u) if len(u) else np.empty(0, np.int64))
+                marks.append(sketch(u, sketch_bits(len(u), num, den)) if len(u) else np.empty(0, np.int64))
                 keys.append(part_keys(u, num, den) if len(u) else np.empty(0, np.uint64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), _arrays(marks), _arrays(keys)], names=["doc_id", "hash", "n", "sid", "sketch", "keys"])
 
@@ -184,9 +197,12 @@ def components(links: DataFrame, keep: Keep = materialize) -> DataFrame:
 
 
 def _plausible(num: int, den: int) -> Column:
-    """Whether sizes and parity sketches of the sets x and y allow a link."""
+    """Whether sizes and parity sketches of the sets x and y allow a link; sizes in reach have sketches within a factor 2."""
     small, large = F.least("nx", "ny"), F.greatest("nx", "ny")
-    distance = F.aggregate(F.zip_with("kx", "ky", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    length = F.least(F.size("kx"), F.size("ky"))
+    xor = lambda a, b: a.bitwiseXOR(b)
+    short = lambda k: F.when(F.size(k) == length, F.col(k)).otherwise(F.zip_with(F.slice(k, F.lit(1), length), F.slice(k, length + 1, length), xor))
+    distance = F.aggregate(F.zip_with(short("kx"), short("ky"), lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda s, v: s + v)
     return (small * den >= large * num) & (distance * num <= small * (den - num))
 
 
@@ -227,14 +243,17 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
         shared = keep(again.join(hubs, "key"), "shared")
         pairs = shared.where("sid != hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
         tested = verified(keep(pairs, "pairs"), nodes, docs, words, num, den, keep)
-        while True:
+        for times in (8**k for k in itertools.count(1)):  # more forests at once where the last one's pairs failed the count
             roots = components(tested.where("linked"), keep)
             placed = keep(shared.select("key", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
             state = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
             open_keys = state.where("low < high and size > 2").select("key", "size")  # of two, one is the hub of the other
-            pairs = keep(forest_pairs(keep(placed.join(open_keys, "key"), "open"), nodes, tested.where("not linked"), num, den), "pairs")
-            if pairs.isEmpty():
+            if times > 8:  # a part that put out no pair has none left
+                open_keys = open_keys.join(found.select("key").distinct(), "key", "left_semi")
+            found = keep(forest_pairs(keep(placed.join(open_keys, "key"), "open"), nodes, tested.where("not linked"), num, den, times), "found")
+            if found.isEmpty():
                 break
+            pairs = keep(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
             tested = keep(tested.unionByName(verified(pairs, nodes, docs, words, num, den, keep)), "tested")
         named = nodes.select("sid", "rep").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -244,34 +263,39 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
         return materialize(rows.select("doc_id", F.col("n").alias("n_shingles"), "sid", "root", component.alias("component_id")), "members")
 
 
-def forest(sid: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: np.ndarray, block: np.ndarray, failed: list, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of members that may link, forming a spanning forest over their components.
+def forest(sid: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: np.ndarray, block: np.ndarray, failed: list, num: int, den: int, times: int = 1) -> list[tuple[int, int]]:
+    """Pairs of members that may link: ``times`` spanning forests over their components that share no pair.
 
     Where members are of two blocks only pairs across them are looked at, as each block meets itself elsewhere.
     """
-    label = np.unique(root, return_inverse=True)[1].copy()
+    start = np.unique(root, return_inverse=True)[1]
     across, out = len(np.unique(block)) > 1, []
-    lost = [set(map(int, f)) if f is not None and len(f) else None for f in failed]
-    for i in range(len(sid) - 1):
-        other = label[i + 1 :] != label[i]
+    labels = [start.copy() for _ in range(times)]
+    step = max(1, 262_144 // max(1, len(sid)))  # rows compared with all others at once
+    for low in range(0, len(sid), step):
+        rows = np.arange(low, min(low + step, len(sid)))
+        apart = np.zeros((len(rows), len(sid)), np.int32)
+        for w in range(sketches.shape[1]):
+            apart += np.bitwise_count(sketches[rows, w][:, None] ^ sketches[:, w][None])
+        small, large = np.minimum(n[rows][:, None], n[None]), np.maximum(n[rows][:, None], n[None])
+        may = (small * den >= large * num) & (apart * np.int64(num) <= small * (den - num)) & (start[rows][:, None] != start[None]) & (rows[:, None] < np.arange(len(sid))[None])
         if across:
-            other &= block[i + 1 :] != block[i]
-        at = np.flatnonzero(other) + i + 1
-        if not len(at):
-            continue
-        small, large = np.minimum(n[at], n[i]), np.maximum(n[at], n[i])
-        at, small = at[small * den >= large * num], small[small * den >= large * num]
-        apart = np.bitwise_count(sketches[at] ^ sketches[i]).sum(1, dtype=np.int64)
-        for j in at[apart * num <= small * (den - num)].tolist():
+            may &= block[rows][:, None] != block[None]
+        for i, j in np.argwhere(may).tolist():
+            i += low
+            label = next((x for x in labels if x[j] != x[i]), None)
+            if label is None:
+                continue
             a, b = int(sid[i]), int(sid[j])
-            if label[j] != label[i] and not (lost[i] and b in lost[i]) and not (lost[j] and a in lost[j]):
-                out.append((a, b))
-                label[label == label[j]] = label[i]
+            if (failed[i] is not None and b in failed[i]) or (failed[j] is not None and a in failed[j]):
+                continue
+            out.append((a, b))
+            label[label == label[j]] = label[i]
     return out
 
 
-def forest_pairs(members: DataFrame, nodes: DataFrame, failed: DataFrame, num: int, den: int, block_rows: int = 1_024, bucket_rows: int = 8_192) -> DataFrame:
-    """Distinct (a, b) from members (key, sid, root, size) of the parts whose members are not all connected.
+def forest_pairs(members: DataFrame, nodes: DataFrame, failed: DataFrame, num: int, den: int, times: int = 1, block_rows: int = 1_024, bucket_rows: int = 8_192) -> DataFrame:
+    """(key, a, b) from members (key, sid, root, size) of the parts whose members are not all connected.
 
     A large part is cut into blocks and every two blocks meet in one unit; units are dealt to buckets, whose
     number follows the rows, so neither a large part nor many small ones fill a task.
@@ -282,22 +306,25 @@ def forest_pairs(members: DataFrame, nodes: DataFrame, failed: DataFrame, num: i
     own = loaded.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = met.select(unit.alias("unit"), "sid", "root", "n", "sketch", "block", "failed")
+    dealt = met.select("key", unit.alias("unit"), "sid", "root", "n", "sketch", "block", "failed")
     rows = members.agg(F.sum(blocks)).first()[0] or 0
     buckets = max(1, rows // bucket_rows)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["unit", "sid"], kind="stable")
-        unit_of, sketches = rows["unit"].to_numpy(), np.stack(rows["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-        sid, root, n, block, lost = (rows[c].to_numpy() for c in ("sid", "root", "n", "block", "failed"))
+        unit_of, words = rows["unit"].to_numpy(), rows["sketch"].to_numpy()
+        sid, root, n, block, failed_of = (rows[c].to_numpy() for c in ("sid", "root", "n", "block", "failed"))
         ends = np.flatnonzero(np.r_[unit_of[1:] != unit_of[:-1], True]) + 1
-        found: set[tuple[int, int]] = set()
+        keys, found = rows["key"].to_numpy(), []
         for x, y in zip([0, *ends[:-1]], ends, strict=True):
-            found.update(forest(sid[x:y], root[x:y], n[x:y], sketches[x:y], block[x:y], lost[x:y], num, den))
-        listed = sorted(found)
-        return pd.DataFrame({"a": np.array([a for a, _ in listed], np.int64), "b": np.array([b for _, b in listed], np.int64)})
-
-    return dealt.withColumn("bucket", F.pmod(F.col("unit"), F.lit(buckets))).groupBy("bucket").applyInPandas(compare, "a long, b long").distinct()
+            length = min(map(len, words[x:y]))
+            sketches = np.stack([fold(np.asarray(w, np.int64), length) for w in words[x:y]]).view(np.uint64)
+            lost = [None if f is None or not len(f) else set(map(int, f)) for f in failed_of[x:y]]
+            found += [(keys[x], a, b) for a, b in forest(sid[x:y], root[x:y], n[x:y], sketches, block[x:y], lost, num, den, times)]
+        table = np.array(found, np.int64).reshape(-1, 3)
+        return pd.DataFrame({"key": table[:, 0], "a": table[:, 1], "b": table[:, 2]})
+
+    return dealt.withColumn("bucket", F.pmod(F.col("unit"), F.lit(buckets))).groupBy("bucket").applyInPandas(compare, "key long, a long, b long")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
