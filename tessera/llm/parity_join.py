@@ -20,6 +20,9 @@ in different components, blocks of them are compared by sketches in memory, and
 only a spanning forest over the components is put out to be counted; so a group of n puts out n - 1 pairs
 at most. That is repeated, with pairs that failed the count left out and with more forests at a time, until no
 pair of different components may link: no group is expanded into its pairs, and no link between components is lost.
+Blocks and the count judge a pair by the same fold of its sketches, so each pair put out is counted and not put out
+again. Components whose many pairs all fail get one pair a forest, so from the fourth round on what is left goes out
+without forests; n members have n * n / 2 pairs and put out MOST_FORESTS * n a round, so the rounds are few.
 
 Empty and null texts have no shingles and link with nothing. Equal rows are members of one class; a null
 doc_id never names a class that has others. Extra columns are not read; an empty table gives an empty table.
@@ -46,6 +49,8 @@ SKETCH_BITS, SKETCH_FACTOR = 1024, 8
 BROADCAST_ROWS = 500_000
 #: So may this many part keys (8 bytes each, about 100 MB as a hash table).
 BROADCAST_KEYS = 2_000_000
+#: Forests that a unit puts out in its rounds: 8, 64, this many; then pairs without forests, this many times its members.
+MOST_FORESTS = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -243,7 +248,8 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
         shared = keep(again.join(hubs, "key"), "shared")
         pairs = shared.where("sid != hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
         tested = verified(keep(pairs, "pairs"), nodes, docs, words, num, den, keep)
-        for times in (8**k for k in itertools.count(1)):  # more forests at once where the last one's pairs failed the count
+        for turn in itertools.count(1):
+            times = 8**turn  # more forests at once where the last one's pairs failed the count
             roots = components(tested.where("linked"), keep)
             placed = keep(shared.select("key", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
             state = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
@@ -263,20 +269,38 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
         return materialize(rows.select("doc_id", F.col("n").alias("n_shingles"), "sid", "root", component.alias("component_id")), "members")
 
 
-def forest(sid: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: np.ndarray, block: np.ndarray, failed: list, num: int, den: int, times: int = 1) -> list[tuple[int, int]]:
-    """Pairs of members that may link: ``times`` spanning forests over their components that share no pair.
+def distances(sketches: dict[int, np.ndarray], lengths: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Hamming distances of the rows low to high to all rows, each pair at the shorter length of its two, as in ``_plausible``.
+
+    ``sketches`` holds by length, shortest first, the folded sketches of the rows that are as long or longer.
+    """
+    out = np.zeros((high - low, len(lengths)), np.int32)
+    for length, words in sketches.items():
+        at = np.flatnonzero(lengths >= length)
+        first, last = np.searchsorted(at, (low, high))
+        apart = np.zeros((last - first, len(at)), np.int32)
+        for w in range(length):
+            apart += np.bitwise_count(words[first:last, w][:, None] ^ words[:, w][None])
+        out[np.ix_(at[first:last] - low, at)] = apart  # what both have at this length replaces the shorter one's
+    return out
+
+
+def forest(sid: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], block: np.ndarray, failed: list, num: int, den: int, times: int = 1) -> list[tuple[int, int]]:
+    """Pairs of members that may link: ``times`` spanning forests over their components that share no pair,
+    or, with ``times`` over MOST_FORESTS, all pairs up to MOST_FORESTS for each member.
 
     Where members are of two blocks only pairs across them are looked at, as each block meets itself elsewhere.
     """
     start = np.unique(root, return_inverse=True)[1]
     across, out = len(np.unique(block)) > 1, []
-    labels = [start.copy() for _ in range(times)]
+    labels: list[np.ndarray] = []
+    most = MOST_FORESTS * len(sid)
+    lengths = np.array([len(x) for x in sketches])
+    folded = {int(k): np.stack([fold(np.asarray(x, np.int64), k) for x in sketches if len(x) >= k]).view(np.uint64) for k in np.unique(lengths)}
     step = max(1, 262_144 // max(1, len(sid)))  # rows compared with all others at once
     for low in range(0, len(sid), step):
         rows = np.arange(low, min(low + step, len(sid)))
-        apart = np.zeros((len(rows), len(sid)), np.int32)
-        for w in range(sketches.shape[1]):
-            apart += np.bitwise_count(sketches[rows, w][:, None] ^ sketches[:, w][None])
+        apart = distances(folded, lengths, low, low + len(rows))
         small, large = np.minimum(n[rows][:, None], n[None]), np.maximum(n[rows][:, None], n[None])
         may = (small * den >= large * num) & (apart * np.int64(num) <= small * (den - num)) & (start[rows][:, None] != start[None]) & (rows[:, None] < np.arange(len(sid))[None])
         if across:
@@ -284,12 +308,16 @@ def forest(sid: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: np.ndarra
         for i, j in np.argwhere(may).tolist():
             i += low
             label = next((x for x in labels if x[j] != x[i]), None)
-            if label is None:
+            if label is None and times <= MOST_FORESTS and len(labels) >= times or len(out) >= most:
                 continue
             a, b = int(sid[i]), int(sid[j])
             if (failed[i] is not None and b in failed[i]) or (failed[j] is not None and a in failed[j]):
                 continue
             out.append((a, b))
+            if times > MOST_FORESTS:
+                continue
+            if label is None:
+                labels.append(label := start.copy())
             label[label == label[j]] = label[i]
     return out
 
@@ -317,10 +345,8 @@ def forest_pairs(members: DataFrame, nodes: DataFrame, failed: DataFrame, num: i
         ends = np.flatnonzero(np.r_[unit_of[1:] != unit_of[:-1], True]) + 1
         keys, found = rows["key"].to_numpy(), []
         for x, y in zip([0, *ends[:-1]], ends, strict=True):
-            length = min(map(len, words[x:y]))
-            sketches = np.stack([fold(np.asarray(w, np.int64), length) for w in words[x:y]]).view(np.uint64)
             lost = [None if f is None or not len(f) else set(map(int, f)) for f in failed_of[x:y]]
-            found += [(keys[x], a, b) for a, b in forest(sid[x:y], root[x:y], n[x:y], sketches, block[x:y], lost, num, den, times)]
+            found += [(keys[x], a, b) for a, b in forest(sid[x:y], root[x:y], n[x:y], list(words[x:y]), block[x:y], lost, num, den, times)]
         table = np.array(found, np.int64).reshape(-1, 3)
         return pd.DataFrame({"key": table[:, 0], "a": table[:, 1], "b": table[:, 2]})
 

@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from tessera.llm.parity_join import classes, differing, one_of_each, part_keys, shingle_set, sketch
+from tessera.llm import parity_join
+from tessera.llm.parity_join import classes, differing, forest, one_of_each, part_keys, shingle_set, sketch
 
 
 def brute_sets(rows, k):
@@ -110,3 +111,52 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert classes(docs).collect() == [] and one_of_each(docs).collect() == []
     assert len(shingle_set(None, 3)) == 0
+
+
+def test_rounds_end_where_a_unit_mixes_sketch_lengths_and_pairs_are_just_below_the_threshold(spark, monkeypatch):
+    """Sets of under 512 shingles have shorter sketches; folded to those, near misses look like links."""
+    rng, texts = random.Random(5), []
+    for base in range(3):
+        whole = [f"w{base}x{i}" for i in range(700)]
+        for size, runs in ((600, 16), (604, 17), (608, 18), (500, 8), (604, 16), (606, 17)):
+            text = whole[:size]
+            for i in rng.sample(range(0, size // 8), runs // 2):  # each changed word changes five shingles
+                text[i * 8] = f"c{rng.random()}"
+            texts.append(" ".join(text))
+    rows = list(enumerate(texts))
+    turns, real = [], parity_join.forest_pairs
+
+    def counted(*args, **kwargs):
+        turns.append(args)
+        assert len(turns) <= 6, "the rounds do not end"
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(parity_join, "forest_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in classes(docs, 5, 80, 100).collect()), key=repr)
+    assert got == brute(rows, 5, 80, 100)
+
+
+def test_forest_compares_each_pair_at_its_own_sketch_length():
+    """170 differing shingles of 600: likely at 1,024 bits, not at 2,048."""
+    rng = np.random.default_rng(3)
+    both = rng.integers(0, 1 << 64, 515, np.uint64)
+    x, y = (np.unique(np.r_[both, rng.integers(0, 1 << 64, 85, np.uint64)]) for _ in range(2))
+    marks = [sketch(x, 2048), sketch(y, 2048), sketch(both[:500], 1024)]
+    apart = lambda a, b: int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+    assert apart(parity_join.fold(marks[0], 16), parity_join.fold(marks[1], 16)) <= 150 < apart(marks[0], marks[1])
+    sid = np.arange(3)
+    found = forest(sid, sid, np.array([600, 600, 500]), marks, np.zeros(3, int), [None] * 3, 80, 100, 8)
+    assert (0, 1) not in found
+
+
+def test_pairs_of_two_components_that_all_failed_but_one_need_few_turns():
+    u = np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sid, root, failed, turns = np.arange(200), np.repeat([0, 100], 100), [set() for _ in range(200)], 0
+    while found := forest(sid, root, np.full(200, 100), [sketch(u)] * 200, np.zeros(200, int), failed, 80, 100, 8 ** (turns + 1)):
+        for a, b in found:
+            assert a not in failed[b]
+            failed[b].add(a)
+        turns += 1
+        assert turns <= 4
+    assert sum(map(len, failed)) == 100 * 100
