@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import hashed_sample, materialize, small_batches
 
 RESULT = "query_id long, vec_id long, score double"
+#: The lists that a query scans hold at least this many times the vectors that it asks for.
+SPARE = 4
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -73,6 +75,12 @@ def lists_to_scan(x: np.ndarray, centroids: np.ndarray, k: int, target_recall: f
     return len(centroids)
 
 
+def lists_of(order: np.ndarray, sizes: np.ndarray, n_scan: int, enough: int) -> list[np.ndarray]:
+    """Of each query's lists, nearest first, the first ``n_scan`` and further ones until they hold ``enough`` vectors, or all."""
+    held = np.cumsum(sizes[order], axis=1)
+    return [o[: max(n_scan, int(np.searchsorted(h, enough)) + 1)] for o, h in zip(order, held, strict=True)]
+
+
 def scan(query: np.ndarray, rows: np.ndarray, k: int, step: int, epsilon: float, batch: int = 512) -> np.ndarray:
     """Indexes of candidates that may be among the k nearest in one list part; all columns rotated."""
     dims = rows.shape[1]
@@ -140,10 +148,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, max_sample: int = 16_384,
             if not b.num_rows:
                 continue
             r = np.frombuffer(b"".join(b.column(2).to_pylist())).reshape(b.num_rows, dims)
-            near = np.argsort(squared(r, centroids), axis=1, kind="stable")[:, :n_scan]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["query_id", "qv", "qr", "lists"])
+            near = lists_of(np.argsort(squared(r, centroids), axis=1, kind="stable").astype(np.int32), sizes_of, n_scan, SPARE * (k + 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(near, pa.list_(pa.int32()))], names=["query_id", "qv", "qr", "lists"])
 
     index = materialize(clean.select("vec_id", "v").mapInArrow(assign, "vec_id long, list int, v binary, r binary"), "index")
+    sizes_of = np.zeros(len(centroids), np.int64)
+    for r in index.groupBy("list").count().collect():  # one row a list, at most 1,024
+        sizes_of[r["list"]] = r["count"]
     asked = index.where(is_query).select("vec_id", "v", "r").mapInArrow(probe, "query_id long, qv binary, qr binary, lists array<int>")
     asked = materialize(asked.select("query_id", "qv", "qr", F.explode("lists").alias("list")), "probes")
     # one row a list, at most 1,024

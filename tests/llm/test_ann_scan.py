@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.llm import ann_scan
 from tessera.llm.ann_scan import nearest, scan
 from tessera.sources import read_table
 
@@ -45,3 +46,13 @@ def test_edges(spark):
     got = sorted((r.query_id, r.rank, r.vec_id) for r in nearest(table, F.col("vec_id") % 100 == 0).collect())
     assert got == [(0, 1, 100), (0, 2, 1), (0, 3, 2), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
     assert nearest(table.limit(0), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_outlying_queries_get_k_rows(spark, monkeypatch):
+    """Lists of one or a few vectors: with one list a query would get fewer than ten rows."""
+    monkeypatch.setattr(ann_scan, "lists_to_scan", lambda *_: 1)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(390, 8)), 1000 * np.eye(8), -1000 * np.eye(8)[:2]])
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(docs, F.col("vec_id") >= 390).groupBy("query_id").count().collect()
+    assert sorted((r["query_id"], r["count"]) for r in got) == [(i, 10) for i in range(390, 400)]
