@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as a Unicode-aware pattern; Spark's bare ``\s`` and ``\w`` are ASCII.
 SPACES = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+NOT_SPACES = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]+"
 WORD = r"[\p{L}\p{N}_]+"
 SENTENCE_END = r"(?<=[.!?])[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 #: Marks the start of a word in character sequences, and the reserved tokens in id order. Fixed values.
@@ -18,6 +21,11 @@ def _col(text: Column | str) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once; Spark computes what stands inside a lambda anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(_col(text), f"^{SPACES}|{SPACES}$", "")
@@ -28,6 +36,11 @@ def split_words(text: Column | str) -> Column:
     return F.filter(F.split(_col(text), SPACES), lambda w: w != "")
 
 
+def word_count(text: Column | str) -> Column:
+    """Number of the words that ``split_words`` gives; null: 0."""
+    return F.coalesce(F.regexp_count(_col(text), F.lit(NOT_SPACES)), F.lit(0))
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-cased runs of letters, digits and underscores."""
     return F.transform(F.regexp_extract_all(_col(text), F.lit(WORD), F.lit(0)), F.lower)

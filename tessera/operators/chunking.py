@@ -6,22 +6,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SENTENCE_END, split_words, strip
+from tessera.functions.text import SENTENCE_END, bind, split_words, strip
 
 
 def _windows(items: Column, size: int, overlap: int, stop_at_end: bool) -> Column:
     """Arrays of consecutive windows; ``stop_at_end`` drops those after one that reaches the end."""
     step = max(1, size - overlap)
-    starts = F.sequence(F.lit(0), F.size(items) - 1, F.lit(step))
-    if stop_at_end:
-        starts = F.filter(starts, lambda i: (i == 0) | (i - step + size < F.size(items)))
-    return F.when(F.size(items) > 0, F.transform(starts, lambda i: F.slice(items, i + 1, size)))
+
+    def cut(items: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(items) - 1, F.lit(step))
+        if stop_at_end:
+            starts = F.filter(starts, lambda i: (i == 0) | (i - step + size < F.size(items)))
+        return F.when(F.size(items) > 0, F.transform(starts, lambda i: F.slice(items, i + 1, size)))
+
+    return bind(items, cut)
 
 
 def word_chunks(docs: DataFrame, max_words: int = 200, overlap: int = 20) -> DataFrame:
     """(doc_id, chunk_id, text): windows of words joined by one space; the last may lie inside the one before."""
-    parts = F.transform(_windows(split_words("text"), max_words, overlap, False), lambda w: F.array_join(w, " "))
-    return docs.select("doc_id", F.posexplode(parts).alias("chunk_id", "text"))
+    windows = _windows(split_words("text"), max_words, overlap, False)
+    return docs.select("doc_id", F.posexplode(windows).alias("chunk_id", "words")).select("doc_id", "chunk_id", F.array_join("words", " ").alias("text"))
 
 
 def pack_sentences(parts: list[str], max_chars: int, overlap: int) -> list[str]:

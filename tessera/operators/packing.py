@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normalized, split_words
+from tessera.functions.text import normalized, split_words, word_count
 
 SEPARATOR = "\n---\n"
 
 
 def _words(text: Column) -> Column:
-    return F.greatest(F.lit(1), F.size(split_words(text)))
+    return F.greatest(F.lit(1), word_count(text))
 
 
 def order_chunks(chunks: DataFrame, strategy: str = "priority") -> DataFrame:
@@ -52,7 +52,7 @@ def fill(ordered: DataFrame, max_tokens: int = 1024, separator: str = SEPARATOR,
     left = F.lit(max_tokens) - (F.col("total") - F.col("cost")) - F.when(F.col("n") == 1, 0).otherwise(count(F.lit(separator)))
     cut = F.array_join(F.slice(split_words("text"), F.lit(1), F.greatest(left, F.lit(0)).cast("int")), " ")
     marked = summed.withColumn("first_out", first_out).where(fits | (F.col("n") == F.col("first_out")))
-    taken = marked.withColumn("text", F.when(fits, F.col("text")).otherwise(cut)).where(fits | ((left > 0) & (F.size(split_words("text")) > 0)))
+    taken = marked.withColumn("text", F.when(fits, F.col("text")).otherwise(cut)).where(fits | ((left > 0) & (word_count(F.col("text")) > 0)))
     return taken.select("group_id", "turn", "text", "cost")
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import sentences, strip, title_first
+from tessera.functions.text import bind, sentences, strip, title_first
 
 # The verbs with their base forms, and the pattern of either side.
 WH_VERBS = (("uses", "use"), ("retrieves", "retrieve"))
@@ -19,22 +19,30 @@ GAP_WORD = r"[A-Za-z0-9'-]+"
 
 
 def wh_question(sentence: Column) -> Column:
-    """Struct (question, answer) or null: "X uses Y" asks what X uses; the last verb of the sentence counts."""
+    """Struct (question, answer) or null: "X uses Y" asks what X uses; the last verb of the sentence counts.
+
+    A plain search for the verb goes first, as the patterns try every way to split a sentence that lacks it.
+    """
     out = F.lit(None).cast("struct<question:string,answer:string>")
     for verb, base in reversed(WH_VERBS):
         rx = rf"(?i)^({SIDE})\s+{verb}\s+({SIDE})"
         asked = F.concat(F.lit("What does "), title_first(strip(F.regexp_extract(sentence, rx, 1))), F.lit(f" {base}?"))
-        out = F.when(sentence.rlike(rx), F.struct(asked.alias("question"), strip(F.regexp_extract(sentence, rx, 2)).alias("answer"))).otherwise(out)
+        fits = F.contains(F.lower(sentence), F.lit(verb)) & sentence.rlike(rx)
+        out = F.when(fits, F.struct(asked.alias("question"), strip(F.regexp_extract(sentence, rx, 2)).alias("answer"))).otherwise(out)
     return out
 
 
 def gap_question(sentence: Column, draw: Column) -> Column:
     """Struct (question, answer) or null: a word of more than 3 characters, picked by ``draw``, is blanked where it first occurs."""
-    words = F.filter(F.regexp_extract_all(sentence, F.lit(GAP_WORD), F.lit(0)), lambda w: F.length(w) > 3)
-    answer = F.get(words, F.pmod(draw, F.greatest(F.size(words), F.lit(1))).cast("int"))
-    at = F.instr(sentence, answer)
-    asked = F.concat(F.substring(sentence, F.lit(1), at - 1), F.lit(GAP), F.substring(sentence, at + F.length(answer), F.length(sentence)))
-    return F.when(F.size(words) > 0, F.struct(asked.alias("question"), answer.alias("answer")))
+    words = F.regexp_extract_all(sentence, F.lit(f"{GAP_WORD[:-1]}{{4,}}"), F.lit(0))
+    pick = lambda w: F.get(w, F.pmod(draw, F.greatest(F.size(w), F.lit(1))).cast("int"))
+
+    def blank(answer: Column) -> Column:
+        at = F.instr(sentence, answer)
+        asked = F.concat(F.substring(sentence, F.lit(1), at - 1), F.lit(GAP), F.substring(sentence, at + F.length(answer), F.length(sentence)))
+        return F.when(answer.isNotNull(), F.struct(asked.alias("question"), answer.alias("answer")))
+
+    return bind(bind(words, pick), blank)
 
 
 def questions(texts: DataFrame, per_text: int = 3, seed: int = 0) -> DataFrame:
@@ -44,11 +52,13 @@ def questions(texts: DataFrame, per_text: int = 3, seed: int = 0) -> DataFrame:
     the data is dealt out.
     """
     split = texts.select("doc_id", F.posexplode(sentences("text")).alias("sent", "context"))
-    made = split.withColumn("wh", wh_question(F.col("context"))).withColumn("gap", gap_question(F.col("context"), F.xxhash64(F.lit(seed), "doc_id", "sent", F.lit("word"))))
-    asked = made.withColumn("q", F.coalesce("wh", "gap")).where("q is not null")
+    # only sentences that are chosen are made into questions
+    able = split.where(F.col("context").rlike(f"{GAP_WORD[:-1]}{{4,}}") | wh_question(F.col("context")).isNotNull())
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id", "sent", F.lit("order")), "sent")
-    ranked = asked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_text)
-    return ranked.select("doc_id", "rank", F.col("q.question").alias("question"), F.array("q.answer").alias("answers"), F.when(F.col("wh").isNotNull(), "wh").otherwise("cloze").alias("type"), "context")
+    ranked = able.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_text)
+    made = ranked.withColumn("wh", wh_question(F.col("context"))).withColumn("gap", gap_question(F.col("context"), F.xxhash64(F.lit(seed), "doc_id", "sent", F.lit("word"))))
+    asked = made.withColumn("q", F.coalesce("wh", "gap"))
+    return asked.select("doc_id", "rank", F.col("q.question").alias("question"), F.array("q.answer").alias("answers"), F.when(F.col("wh").isNotNull(), "wh").otherwise("cloze").alias("type"), "context")
 
 
 def questions_in_stream_order(texts: DataFrame, per_text: int = 3, seed: int = 0) -> DataFrame:
