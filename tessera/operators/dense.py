@@ -1,8 +1,11 @@
-"""Exact vector search. The query side is broadcast while it is small, and else shuffled in blocks."""
+"""Exact vector search: blocks of the store meet blocks of the queries as matrix products in Arrow batches.
+
+Each block puts out its own k best a query, so what is shuffled is k rows for a query and a block, not all pairs.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,8 +14,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot, doubles, unit
 
-#: Queries up to this many are broadcast (at 1,024 dimensions 40 MB); more are dealt into blocks.
+#: Queries of a block; one block (at 1,024 dimensions 40 MB) travels to all tasks, more are dealt out with the store's blocks.
 BROADCAST_QUERIES = 5_000
+#: Vectors of a block where there are several blocks of queries.
+BLOCK_ROWS = 8_192
 
 
 def store(vectors: DataFrame, normalize: bool = True, dims: int | None = None) -> DataFrame:
@@ -38,15 +43,24 @@ def embed_texts(texts: DataFrame, embed: Callable[[str], np.ndarray]) -> DataFra
 
 
 def hashed_embedder(dims: int = 64) -> Callable[[str], np.ndarray]:
-    """A deterministic bag-of-words embedder: words are hashed to signed dimensions, then scaled to unit length."""
+    """A deterministic bag-of-words embedder: words are hashed to signed dimensions, then scaled to unit length.
+
+    A word's hash is the number of the first 8 hexadecimal digits of the MD5 of its lower case; the highest bit gives the sign.
+    """
+    import hashlib
     import re
-    import zlib
+
+    known: dict[str, int] = {}
 
     def embed(text: str) -> np.ndarray:
         out = np.zeros(dims)
-        for word in re.findall(r"\w+", text.lower()):
-            h = zlib.crc32(word.encode())
-            out[h % dims] += 1.0 if h & 0x10000 else -1.0
+        for word in re.findall(r"\w+", text):
+            h = known.get(word)
+            if h is None:
+                if len(known) > 200_000:
+                    known.clear()
+                h = known[word] = int(hashlib.md5(word.lower().encode()).hexdigest()[:8], 16)
+            out[h % dims] += 1.0 if h >> 31 else -1.0
         return out / max(float(np.linalg.norm(out)), 1e-9)
 
     return embed
@@ -66,8 +80,53 @@ def top_k(scored: DataFrame, k: int, tie: str = "id", digits: int = 9) -> DataFr
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, normalize: bool = True) -> DataFrame:
-    return top_k(scores(vectors, queries, normalize), k).select("query_id", "rank", "id", "score")
+def _best_of_block(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of the k best of each query, by the order of ``top_k``; all equals of the k-th are kept."""
+    score = queries @ vectors.T
+    rounded = np.round(score, digits)
+    if k < len(ids):
+        least = np.partition(rounded, len(ids) - k, axis=1)[:, len(ids) - k]
+        q, v = np.nonzero(rounded >= least[:, None] - 1e-12)
+    else:
+        q, v = np.nonzero(np.ones_like(score, bool))
+    return q, ids[v], score[q, v]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, normalize: bool = True, digits: int = 9) -> DataFrame:
+    """(query_id, rank, id, score): the k best vectors (id, vec) for each query (query_id, qvec); equal scores by id."""
+    q = queries.select("query_id", (unit(doubles("qvec")) if normalize else doubles("qvec")).alias("qvec")).where("qvec is not null")
+    v = vectors.select("id", "vec").where("vec is not null")
+    kind = dict(q.dtypes)["query_id"]
+    schema = f"query_id {kind}, id string, score double"
+    if k <= 0:
+        return v.sparkSession.createDataFrame([], f"query_id {kind}, rank int, id string, score double")
+    few = q.limit(BROADCAST_QUERIES + 1).collect()  # at most one block and a row
+    if len(few) <= BROADCAST_QUERIES:
+        names, matrix = [r["query_id"] for r in few], np.array([r["qvec"] for r in few], float)
+
+        def against_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b) and names:
+                    at, ids, score = _best_of_block(b["id"].to_numpy(), np.stack(b["vec"]), matrix, k, digits)
+                    yield pd.DataFrame({"query_id": [names[i] for i in at], "id": ids, "score": score})
+
+        found = v.mapInPandas(against_all, schema)
+    else:
+        n_queries = -(-q.count() // BROADCAST_QUERIES)
+        n_vectors = max(1, -(-v.count() // BLOCK_ROWS))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = v.select(F.pmod(F.xxhash64("id"), F.lit(n_vectors)).alias("vb"), every(n_queries).alias("qb"), "id", "vec")
+        right = q.select(every(n_vectors).alias("vb"), F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int").alias("qb"), "query_id", "qvec")
+
+        def block(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(y):
+                return pd.DataFrame({"query_id": y["query_id"].iloc[:0], "id": [], "score": np.empty(0)})
+            at, ids, score = _best_of_block(x["id"].to_numpy(), np.stack(x["vec"]), np.stack(y["qvec"]), k, digits)
+            return pd.DataFrame({"query_id": y["query_id"].to_numpy()[at], "id": ids, "score": score})
+
+        on = [F.col("vb").cast("int"), F.col("qb").cast("int")]
+        found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(block, schema)
+    return top_k(found, k, digits=digits).select("query_id", "rank", "id", "score")
 
 
 def search_text(vectors: DataFrame, queries: DataFrame, embed: Callable[[str], np.ndarray], k: int = 5) -> DataFrame:

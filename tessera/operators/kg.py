@@ -51,20 +51,31 @@ def find(graph: DataFrame, pattern: str) -> DataFrame:
     return graph.where(F.col("head").rlike(rx) | F.col("rel").rlike(rx) | F.col("tail").rlike(rx))
 
 
+#: Triples of a graph that one document may hold; a graph beyond that is exported by parts or as a table.
+MOST_DRAWN = 5_000_000
+
+
+def _drawable(graph: DataFrame) -> DataFrame:
+    if graph.limit(MOST_DRAWN + 1).count() > MOST_DRAWN:
+        raise ValueError(f"the graph has more than {MOST_DRAWN} triples, too many for one document; write the table of triples instead")
+    return graph
+
+
 def _ordered(graph: DataFrame, value: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "sent", "seq", value.alias("v")))), lambda x: x["v"])
 
 
 def to_dot(graph: DataFrame, name: str = "G") -> DataFrame:
-    """One row ``dot``; names are not escaped. For graphs small enough to draw."""
+    """One row ``dot``; names are not escaped. An error beyond MOST_DRAWN triples."""
     line = F.concat(F.lit('  "'), "head", F.lit('" -> "'), "tail", F.lit('" [label="'), "rel", F.lit('"];'))
-    lines = graph.agg(_ordered(graph, line).alias("lines"))
+    lines = _drawable(graph).agg(_ordered(graph, line).alias("lines"))
+    # fixed value: the layout line
     top = F.array(F.lit(f"digraph {name} {{"), F.lit("  rankdir=LR; node [shape=box, style=rounded];"))
     return lines.select(F.array_join(F.concat(top, F.col("lines"), F.array(F.lit("}"))), "\n").alias("dot"))
 
 
 def to_json(graph: DataFrame) -> DataFrame:
-    """One row ``json``: sorted nodes, and triples in order as [head, rel, tail]."""
-    listed = graph.agg(_ordered(graph, F.array("head", "rel", "tail")).alias("triples"))
+    """One row ``json``: sorted nodes, and triples in order as [head, rel, tail]. An error beyond MOST_DRAWN triples."""
+    listed = _drawable(graph).agg(_ordered(graph, F.array("head", "rel", "tail")).alias("triples"))
     named = nodes(graph).agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     return named.crossJoin(listed).select(F.to_json(F.struct("nodes", "triples")).alias("json"))

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import bind, tokens
+from tessera.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -19,13 +20,48 @@ class LexicalIndex:
     stats: DataFrame
 
 
+def _term_counts(words: Column) -> Column:
+    """Array of (term, tf) of a sorted array of words: one for each run of equal ones."""
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(t)))
+        counts = lambda s: F.zip_with(s, ends(s), lambda i, j: F.struct(F.get(t, i).alias("term"), (j - i).cast("long").alias("tf")))
+        return F.when(F.size(t) > 0, bind(starts, counts)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    return bind(words, runs)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, dl, terms): one row a document with its distinct terms and their counts; nothing is shuffled."""
+    counts = _term_counts(F.array_sort(tokens(F.coalesce("text", F.lit("")))))
+    split = docs.select("doc_id", counts.alias("terms"))
+    return split.select("doc_id", F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]).cast("int").alias("dl"), "terms")
+
+
 def build_index(docs: DataFrame) -> LexicalIndex:
     """Index of (doc_id, text). An empty text counts as a document of length 0."""
-    split = docs.select("doc_id", tokens("text").alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = split.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = split.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl") / F.greatest(F.count("*"), F.lit(1)), F.lit(0.0)).alias("avgdl"))
-    return LexicalIndex(postings, frequencies, stats)
+    counted = _counted(docs)
+    postings = counted.select("doc_id", "dl", F.explode("terms").alias("p")).select("doc_id", "p.term", "dl", "p.tf")
+    return LexicalIndex(postings, _frequencies(postings), _stats(counted))
+
+
+def _frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _stats(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl") / F.greatest(F.count("*"), F.lit(1)), F.lit(0.0)).alias("avgdl"))
+
+
+def add(index: LexicalIndex, docs: DataFrame) -> LexicalIndex:
+    """``index`` with more documents: only the new ones are split; their ids must be new."""
+    more = build_index(docs)
+    frequencies = index.frequencies.unionByName(more.frequencies).groupBy("term").agg(F.sum("df").alias("df"))
+    both = index.stats.unionByName(more.stats)
+    total = F.sum(F.col("n_docs") * F.col("avgdl")) / F.greatest(F.sum("n_docs"), F.lit(1))
+    stats = both.agg(F.sum("n_docs").alias("n_docs"), F.coalesce(total, F.lit(0.0)).alias("avgdl"))
+    return LexicalIndex(index.postings.unionByName(more.postings), frequencies, stats)
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -38,22 +74,31 @@ def term_score(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Co
     return tf * (k1 + 1) / F.greatest(denominator, F.lit(1e-9))
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+#: Query terms up to this many distinct ones are broadcast to the scan of the postings.
+BROADCAST_TERMS = 200_000
+
+
+def search(docs: DataFrame | LexicalIndex, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, rank, doc_id, score) for queries (query_id, text).
 
-    A repeated query term counts each time. Only postings of query terms are kept before the first
-    shuffle; ties go to the document touched first, that is by query term, then by doc_id.
+    A repeated query term counts each time. The documents are split once: their lengths and the postings of query
+    terms are written, and all else is made from those. Ties go to the document touched first, that is by
+    query term, then by doc_id. A ``LexicalIndex`` is searched as it is.
     """
     terms = queries.select("query_id", F.posexplode(tokens("text")).alias("pos", "term"))
     asked = terms.groupBy("query_id", "term").agg(F.min("pos").alias("pos"), F.count("*").alias("repeats"))
-    split = docs.select("doc_id", tokens("text").alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = split.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl") / F.greatest(F.count("*"), F.lit(1)), F.lit(0.0)).alias("avgdl"))
     wanted = asked.select("term").distinct()
-    postings = (
-        split.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-        .groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    )
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    if isinstance(docs, LexicalIndex):
+        postings, frequencies, stats = docs.postings.join(F.broadcast(wanted) if few else wanted, "term", "left_semi"), docs.frequencies, docs.stats
+    else:
+        # each document also has a row with the empty term, which is no word, for its length
+        every = F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"))), F.col("terms"))
+        rows = _counted(docs).select("doc_id", "dl", F.explode(every).alias("p")).select("doc_id", "p.term", "dl", "p.tf")
+        kept = wanted.unionByName(wanted.sparkSession.createDataFrame([("",)], "term string"))
+        found = materialize(rows.join(F.broadcast(kept) if few else kept, "term", "left_semi"), "postings")
+        postings, stats = found.where("term != ''"), _stats(found.where("term = ''"))
+        frequencies = _frequencies(postings)
     weighted = postings.join(frequencies, "term").crossJoin(F.broadcast(stats))  # stats: one row
     scored = weighted.select("term", "doc_id", (idf(F.col("n_docs"), F.col("df")) * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("part"))
     hits = scored.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("repeats")).alias("score"), F.min("pos").alias("pos"))

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import guard, metrics, text
@@ -36,7 +37,18 @@ def test_bpe_published_vocabulary(spark):
     assert {r.t for r in back} == {"hello world", "hello there"}
 
 
-def test_merge_does_not_overlap():
+def test_training_in_spark_gives_the_same_merges(spark):
+    texts = ["hello world the hen held her help", "there then the aaaa aaa aa", "world wide web hello"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for corrected in (False, True):
+        want = bpe.train(docs, 40, corrected=corrected)
+        assert want.merges and bpe.train(docs, 40, corrected=corrected, most_on_driver=3) == want
+
+
+def test_merge_does_not_overlap(spark):
+    for word in ("aaaa", "aaa", "abaab", ""):
+        got = spark.createDataFrame([(list(word),)], "s array<string>").select(bpe.merge_symbols(F.col("s"), "a", "a").alias("m")).first()["m"]
+        assert got == bpe.merge(list(word), "a", "a")
     assert bpe.merge(list("aaaa"), "a", "a") == ["aa", "aa"] and bpe.merge(list("aaa"), "a", "a") == ["aa", "a"]
 
 
@@ -58,12 +70,31 @@ def test_bm25_published_scores(spark):
     assert math.isclose(scores[0], 2 * scores[1])
 
 
+def test_index_grows_and_is_searched_as_it_is(spark):
+    rows = [(0, "red fox red"), (1, None), (2, "blue fox"), (3, "red red red sky")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "red fox"), (1, "sky zzz")], "query_id int, text string")
+    want = sorted(map(tuple, lexical.search(docs, asked).collect()))
+    grown = lexical.add(lexical.build_index(docs.where("doc_id < 2")), docs.where("doc_id >= 2"))
+    got = sorted(map(tuple, lexical.search(grown, asked).collect()))
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(math.isclose(g[3], w[3]) for g, w in zip(got, want, strict=True))
+    assert {r.term: r.tf for r in lexical.build_index(docs).postings.where("doc_id = 0").collect()} == {"red": 2, "fox": 1}
+
+
 def test_dense_and_mmr(spark):
     rows = [("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 2.0]), ("z", [0.0, 0.0])]
     store = dense.store(spark.createDataFrame(rows, "id string, vec array<double>"))
     q = spark.createDataFrame([(0, [3.0, 0.0])], "query_id int, qvec array<double>")
     assert [r.id for r in dense.search(store, q, 10).orderBy("rank").collect()] == ["a", "b", "c", "z"]
     assert dense.search(store, q, 0).collect() == []
+    many = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)], "query_id int, qvec array<double>")
+    plain = lambda df: sorted((*r[:3], round(r[3], 9)) for r in df.collect())
+    want = plain(dense.search(store, many, 2))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(dense, "BROADCAST_QUERIES", 20)
+        m.setattr(dense, "BLOCK_ROWS", 2)
+        assert plain(dense.search(store, many, 2)) == want
+    assert want == plain(dense.top_k(dense.scores(store, many), 2).select("query_id", "rank", "id", "score"))
     assert [r.id for r in retrieval.mmr(store, q, 4, 1.0).orderBy("rank").collect()] == [r.id for r in dense.search(store, q, 4).orderBy("rank").collect()]
     assert [r.id for r in retrieval.mmr(store, q, 2, 0.1).orderBy("rank").collect()][0] == "a"
 
@@ -110,8 +141,16 @@ def test_tracing(spark):
     out = t.export_json()["spans"]
     assert out[0]["name"] == "a" and out[0]["children"][0]["name"] == "b" and out[0]["end"] is not None
     assert [(r.name, r.depth) for r in tracing.tree(t.table(spark)).orderBy("path").collect()] == [("a", 0), ("b", 1)]
-    assert tracing.html(t.table(spark)).first()["page"].count("<div") == 6
-    assert "No spans" in tracing.html(t.table(spark).limit(0)).first()["page"]
+    page = tracing.html(t.table(spark)).first()["page"]
+    assert page.count("<tr") == 2 and page.index(">a<") < page.index("&emsp;b<")
+    assert "Nothing was traced" in tracing.html(t.table(spark).limit(0)).first()["page"]
+
+
+def test_deep_traces_orphans_and_cycles(spark):
+    rows = [(i, i - 1 if i else None, f"s{i}", 0.0, 1.0, {}) for i in range(150)] + [(200, 201, "x", 0.0, 1.0, {}), (201, 200, "y", 0.0, 1.0, {}), (300, 999, "z", 0.0, 1.0, {}), (301, 300, "w", 0.0, 1.0, {})]
+    got = {r.span_id: (r.depth, r.path) for r in tracing.tree(spark.createDataFrame(rows, tracing.SCHEMA)).collect()}
+    assert set(got) == set(range(150))
+    assert all(got[i] == (i, "/".join(f"{j:010d}" for j in range(i + 1))) for i in range(150))
 
 
 def test_routing_published_requests(spark):
