@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, materialize, small_batches
+from .common import hashed_sample, materialize, bounded_batches
 
 RESULT = "query_id long, vec_id long, score double"
 #: The lists that a query scans hold at least this many times the vectors that it asks for.
@@ -116,7 +116,7 @@ def scan(query: np.ndarray, rows: np.ndarray, k: int, step: int, epsilon: float,
 def nearest(vectors: DataFrame, is_query, k: int = 10, max_sample: int = 16_384, target_recall: float = 0.985, part_rows: int = 2_048, step: int = 16, epsilon: float = 2.1) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest other vectors; ``is_query`` is a column over vec_id."""
     spark = vectors.sparkSession
-    small_batches(spark, 4_096)
+    bounded_batches(spark)
     clean = materialize(usable(vectors), "vectors")
     sizes = clean.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
     if sizes is None:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_batches
 from .token_counts import LATIN_LETTERS, LATIN_NUMBERS, WHITE, is_latin
 
 #: Runs that begin at a stable boundary: optional white space, then non-space; or white space alone.
@@ -184,7 +184,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
     """Encodes each row's text, decodes the ids, and returns both digests; ``with_ids`` adds ``ids`` and ``decoded``."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(tokenizer_path)

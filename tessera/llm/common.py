@@ -2,69 +2,34 @@
 
 from __future__ import annotations
 
-import contextlib
-import itertools
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import delete, materialize, scratch, shared_dir
+
+__all__ = ["SPACE", "WORD", "bounded_batches", "delete", "hashed_sample", "lower_ascii", "materialize", "row_numbers", "scratch", "shared_dir", "with_range_block", "word_count"]
+
 #: White space of the corpus contract, as a Java character class and its complement.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-_own_dir: dict[str, str] = {}
+#: Rows and bytes of an Arrow batch, as one text may be megabytes long.
+BATCH_ROWS, BATCH_BYTES = 2_048, 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds of Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes.
 
-    Only where the cluster names none, as in local tests, a temporary folder is made and used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = tempfile.mkdtemp(prefix="tessera-")
-    return _own_dir[app]
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """A ``materialize`` whose tables go when the block ends; what leaves the block must be written elsewhere first."""
-    folder = f"{shared_dir(spark)}/tessera/scratch-{uuid.uuid4().hex}"
-    number = itertools.count()
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        path = f"{folder}/{next(number)}-{name}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    try:
-        yield keep
-    finally:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and returns it read back.
-
-    This cuts the lineage like a checkpoint, survives the loss of any executor, lets later plans
-    prune columns, and gives the optimizer a true size. The files live as long as the folder does.
+    Bounds that are lower already stay. They are read when a plan runs, which may be long after this call, so they
+    are not put back; results never depend on them.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows of an Arrow batch, since one text may be megabytes long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(key).lower())
+        if now is None or not 0 < int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] <= most:
+            spark.conf.set(key, str(most))
 
 
 def hashed_sample(df: DataFrame, key: str, most: int, total: int) -> DataFrame:

@@ -1,36 +1,41 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set holds the hashes of its distinct word shingles. Two sets of Jaccard similarity
-num/den or more differ in at most d = floor(min * (den - num) / num) elements, min being the smaller set's size.
-
-Sketches. Shingles are dealt to p parts by hash, and each part keeps the parity (XOR) of its shingles' hashes;
-one differing shingle changes one part at most, so of p parts at least p - d agree. By the pigeonhole
-principle, in its prefix form, two documents that link agree in one of the first d + 1 parts of each, in
-any order that depends on a part's content only; parts with more shingles come first, as they agree by chance
-least, and p exceeds d + 1 so that the emptiest parts are never sent. Sizes are banded so that both documents
-use the same p; a document within reach of the band below is sent there too. This loses no pair.
-
-Candidates that share a part then need sizes in reach and a Hamming distance of at most d between
-parity sketches (each shingle flips one bit, so that distance is a lower bound of the number of
-differing shingles; the bits follow d, 1,024 at least, and longer sketches fold to shorter ones), and last the exact count of common shingles.
-
-Classes. Equal sets are one node. Among those that share a part, each is compared with one hub, so a group of
-n costs n comparisons; connected components follow from the links found. Where members of a part still lie
-in different components, blocks of them are compared by sketches in memory, and of the pairs that may link
-only a spanning forest over the components is put out to be counted; so a group of n puts out n - 1 pairs
-at most. That is repeated, with pairs that failed the count left out and with more forests at a time, until no
-pair of different components may link: no group is expanded into its pairs, and no link between components is lost.
-Blocks and the count judge a pair by the same fold of its sketches, so each pair put out is counted and not put out
-again. Components whose many pairs all fail get one pair a forest, so from the fourth round on what is left goes out
-without forests; n members have n * n / 2 pairs and put out MOST_FORESTS * n a round, so the rounds are few.
+A document's set holds the hashes of its distinct word shingles. Two sets of Jaccard similarity num/den or
+more differ in at most d = floor(size * (den - num) / num) elements, by the size of either.
+
+Parts. Shingles are dealt to p parts by hash, and each part's key keeps the parity (XOR) of its shingles'
+hashes. One differing shingle changes one part at most, so two sets that link agree in p - d parts. Sizes are
+banded so that both use the same p; a set within reach of the band below is sent there too.
+
+Pigeonhole, in its prefix form. Whatever order is put on keys, two sets that link share one of the first d + 1
+keys that each has, d by its own size, if only parts that hold shingles count and there are more than d of
+those; the few sets with fewer send keys of empty parts, too. The order here is the number of sets with the
+key, rarest first: a key that one set has can match nothing and takes up a place, so most sets send few keys or
+none, and the key of a passage that very many sets share is sent by those only whose other keys don't suffice.
+
+Sketches. Two sets that share a key need sizes in reach and a Hamming distance of at most d between parity
+sketches (each shingle flips one bit, so that distance is a lower bound of the number of differing shingles; the
+bits follow d, 1,024 at least, and longer sketches fold to shorter ones), and last the exact count of common shingles.
+
+Classes. Equal sets are one node. Among those that share a key, each is compared with one hub, so a group of
+n costs n comparisons; connected components follow from the links found. Where the members of a key still lie
+in different components, pairs across these are compared by sketches in memory, and of those that may link
+only the nearest that make a few spanning forests over the components are counted. Members of a key's largest
+component are not compared with each other, so a large group with few strays costs few rows. That is repeated,
+with pairs that a key put out before left out and with more forests at a time, until no key puts out a pair:
+no group is expanded into its pairs, and no link between components is lost. A key of n sets that are all of
+different components moves n * n / BLOCK_ROWS rows of sketches; the order of keys makes such keys rare.
 
 Empty and null texts have no shingles and link with nothing. Equal rows are members of one class; a null
 doc_id never names a class that has others. Extra columns are not read; an empty table gives an empty table.
-Sets are named by 64-bit hashes.
+Very long texts are one row of one batch, and their keys and sketches follow their size.
+Shingles are told apart by 64-bit hashes, sets by 128 bits: a pair of 64-bit names of which the first is used
+for joins once it is checked to be unique.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -41,16 +46,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, small_batches
+from .common import WORD, bounded_batches, materialize, scratch
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 SKETCH_BITS, SKETCH_FACTOR = 1024, 8
-#: A set of sids up to this many rows (8 bytes each) may be broadcast to filter a scan.
+#: A set of sids up to this many rows (16 bytes each) may be broadcast to filter a scan.
 BROADCAST_ROWS = 500_000
-#: So may this many part keys (8 bytes each, about 100 MB as a hash table).
-BROADCAST_KEYS = 2_000_000
-#: Forests that a unit puts out in its rounds: 8, 64, this many; then pairs without forests, this many times its members.
-MOST_FORESTS = 512
+#: So may this many part keys (8 bytes each, about 50 MB as a hash table).
+BROADCAST_KEYS = 1_000_000
+#: Spanning forests that a unit puts out in its first and second round; then pairs, this many times its members.
+FORESTS, MOST_PAIRS = (8, 64), 512
+#: Rows and bytes of sketches of a block, two of which meet in memory, and bytes of what one task gets at a time.
+BLOCK_ROWS, BLOCK_BYTES, BUCKET_BYTES = 1_024, 8 << 20, 16 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,28 +96,35 @@ def differing(size: int, num: int, den: int) -> int:
     return size * (den - num) // num
 
 
-def part_keys(u: np.ndarray, num: int, den: int, spare: float = 0.3) -> np.ndarray:
-    """Keys of the parts that a set sends, for its own band and, if a link can reach it, the band below."""
+def part_count(most_differing: int) -> int:
+    """Parts of a band: some more than may differ, so that nearly every set has more parts with shingles than that."""
+    return (most_differing + 1) * 115 // 100 + 6
+
+
+def part_keys(u: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]]:
+    """(keys, spare) for the set's own band and, if a link can reach it, the band below (else no keys).
+
+    Of the keys in any common order all but the last ``spare`` must be sent.
+    """
     size = len(u)
+    d = differing(size, num, den)
     own = int(np.searchsorted(_BAND_ARRAY, size, "right")) - 1
-    keys = []
+    out = []
     for band in (own, own - 1):
-        if band < 0 or (band < own and (_BANDS[own] - 1) * den < num * size):
+        if d == 0 or band < 0 or (band < own and (_BANDS[own] - 1) * den < num * size):
+            out.append((np.empty(0, np.uint64), 0))  # d == 0: only equal sets link
             continue
-        d = differing(_BANDS[band + 1] - 1, num, den)
-        if d == 0:
-            continue  # only equal sets link
-        parts = int((d + 1) * (1 + spare)) + 1
+        parts = part_count(differing(_BANDS[band + 1] - 1, num, den))
         at = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with u
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        parity = np.zeros(parts, np.uint64)
-        count = np.zeros(parts, np.int64)
-        where = at[starts].astype(np.int64)
-        parity[where] = np.bitwise_xor.reduceat(mix(u), starts)
-        count[where] = np.diff(np.r_[starts, size])
-        key = mix(parity + mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)) * _M3)
-        keys.append(key[np.lexsort((key, -count))[: d + 1]])
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        place = lambda part: mix(part + np.uint64((band + 1) << 40)) * _M3
+        keys = mix(np.bitwise_xor.reduceat(mix(u), starts) + place(at[starts]))
+        spare = len(keys) - d - 1
+        if spare < 0:  # empty parts agree, too; they stand last in the order
+            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at[starts])
+            keys, spare = np.r_[keys, np.sort(mix(place(empty)))[:-spare]], 0
+        out.append((keys, spare))
+    return out
 
 
 def sketch_bits(size: int, num: int, den: int) -> int:
@@ -131,10 +145,12 @@ def fold(words: np.ndarray, length: int) -> np.ndarray:
     return words
 
 
-def name_of(u: np.ndarray) -> int:
-    """The set's name: parity of scrambled hashes, with the size."""
-    total = np.array([np.bitwise_xor.reduce(mix(u * _M2 + np.uint64(1)))]) + np.array([len(u)], np.uint64) * _M3
-    return int(mix(total).view(np.int64)[0])
+def name_of(u: np.ndarray) -> tuple[int, int]:
+    """The set's name, 128 bits as two signed integers: an XOR and a sum of differently scrambled hashes, with the size."""
+    size = np.array([len(u)], np.uint64)
+    low = mix(np.array([np.bitwise_xor.reduce(mix(u * _M2 + np.uint64(1)))]) + size * _M3)
+    high = mix(np.array([np.add.reduce(mix(u * _M1 + np.uint64(3)))]) + size * _M2)
+    return int(low.view(np.int64)[0]), int(high.view(np.int64)[0])
 
 
 def _arrays(parts: list[np.ndarray]) -> pa.Array:
@@ -148,33 +164,47 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
 
 
+_DESCRIBED = "doc_id long, hash long, n long, sid long, high long, sketch array<long>, keys array<long>, own int, spare_own int, spare_below int"
+
+
 def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, hash of the text, n, sid, sketch, keys) of each row."""
+    """(doc_id, hash of the text, n, sid, high, sketch, keys, own, spare_own, spare_below) of each row.
+
+    The first ``own`` keys are those of the set's own band, the others those of the band below.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sid, marks, keys = [], [], [], []
+            n, low, high, marks, keys, rest = [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 u = shingle_set(text, words)
+                (a, spare_a), (b, spare_b) = part_keys(u, num, den) if len(u) else ((u, 0), (u, 0))
+                name = name_of(u) if len(u) else (None, None)
                 n.append(len(u))
-                sid.append(name_of(u) if len(u) else None)
+                low.append(name[0])
+                high.append(name[1])
                 marks.append(sketch(u, sketch_bits(len(u), num, den)) if len(u) else np.empty(0, np.int64))
-                keys.append(part_keys(u, num, den) if len(u) else np.empty(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), _arrays(marks), _arrays(keys)], names=["doc_id", "hash", "n", "sid", "sketch", "keys"])
+                keys.append(np.r_[a, b])
+                rest.append((len(a), spare_a, spare_b))
+            own, spare_own, spare_below = (pa.array([r[i] for r in rest], pa.int32()) for i in range(3))
+            names = [c.split(" ")[0] for c in _DESCRIBED.split(", ")]
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), _arrays(marks), _arrays(keys), own, spare_own, spare_below]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _rows(docs).mapInArrow(run, "doc_id long, hash long, n long, sid long, sketch array<long>, keys array<long>")
+    return _rows(docs).mapInArrow(run, _DESCRIBED)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sid, shingles) of the wanted (doc_id, hash, sid). Few are broadcast to the scan; many are joined."""
+    """(sid, shingles) of the wanted (doc_id, hash, sid, high). Few are broadcast to the scan; many are joined."""
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side, rows = wanted.select(F.col("doc_id").alias("id"), F.col("hash").alias("text_hash"), "sid"), _rows(docs)
-    chosen = rows.join(F.broadcast(side) if few else side, rows["doc_id"].eqNullSafe(F.col("id")) & (rows["hash"] == F.col("text_hash"))).select("sid", "text")
+    side, rows = wanted.select(F.col("doc_id").alias("id"), F.col("hash").alias("text_hash"), "sid", "low", "high"), _rows(docs)
+    chosen = rows.join(F.broadcast(side) if few else side, rows["doc_id"].eqNullSafe(F.col("id")) & (rows["hash"] == F.col("text_hash"))).select("sid", "low", "high", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            right = [i for i, (u, s) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)) if len(u) and name_of(u) == s]
+            sets = [shingle_set(t, words) for t in batch.column(3).to_pylist()]
+            names = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            right = [i for i, (u, s) in enumerate(zip(sets, names, strict=True)) if len(u) and name_of(u) == s]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right, pa.int64())), _arrays([sets[i] for i in right])], names=["sid", "shingles"])
 
     return chosen.mapInArrow(run, "sid long, shingles array<long>").dropDuplicates(["sid"])
@@ -211,62 +241,139 @@ def _plausible(num: int, den: int) -> Column:
     return (small * den >= large * num) & (distance * num <= small * (den - num))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int, keep: Keep = materialize) -> DataFrame:
-    """(a, b, linked) of those distinct pairs (a, b) whose sketches allow a link. ``nodes`` has sid, n, sketch, rep."""
-    x = nodes.select(F.col("sid").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("kx"), F.col("rep").alias("rx"), F.col("hash").alias("hx"))
-    y = nodes.select(F.col("sid").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("ky"), F.col("rep").alias("ry"), F.col("hash").alias("hy"))
-    kept = pairs.join(y, "b").join(x, "a").where(_plausible(num, den)).select("a", "b", "nx", "ny", "rx", "ry", "hx", "hy")
-    kept = keep(kept, "plausible")
-    wanted = kept.select(F.col("rx").alias("doc_id"), F.col("hx").alias("hash"), F.col("a").alias("sid")).unionByName(kept.select(F.col("ry").alias("doc_id"), F.col("hy").alias("hash"), F.col("b").alias("sid"))).distinct()
-    sets = keep(shingle_sets(docs, wanted, words), "sets")
+def plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) of sids whose sketches allow a link."""
+    x = nodes.select(F.col("sid").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("kx"))
+    y = nodes.select(F.col("sid").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("ky"))
+    return pairs.join(y, "b").join(x, "a").where(_plausible(num, den)).select("a", "b")
+
+
+def counted(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, linked) of the pairs (a, b), by the exact number of common shingles."""
     sx, sy = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sx")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sy"))
     seen = F.col("sx").isNotNull() & F.col("sy").isNotNull()
     common = F.when(seen, F.size(F.array_intersect("sx", "sy"))).otherwise(F.raise_error(F.lit("a document of the table was not found again")).cast("int"))
-    found = kept.join(sy, "b", "left").join(sx, "a", "left").withColumn("common", common)
-    linked = F.col("common") * den >= (F.col("nx") + F.col("ny") - F.col("common")) * num
-    return keep(found.select("a", "b", linked.alias("linked")), "verified")
+    found = pairs.join(sy, "b", "left").join(sx, "a", "left").withColumn("common", common)
+    linked = F.col("common") * den >= (F.size("sx") + F.size("sy") - F.col("common")) * num
+    return found.select("a", "b", linked.alias("linked"))
+
+
+def named_apart(table: DataFrame, keep: Keep) -> DataFrame:
+    """``table`` with ``low`` (the first half of the name) and ``sid``: ``low``, but for sets that share it with another.
+
+    Those few take a hash of their whole name.
+    """
+    several = table.where("n > 0").groupBy("sid").agg(F.min("high").alias("first"), F.max("high").alias("last")).where("first < last")
+    several = keep(several.select(F.col("sid").alias("low"), "first"), "clashes")
+    plain = table.withColumnRenamed("sid", "low")
+    if several.isEmpty():
+        return plain.withColumn("sid", F.col("low"))
+    other = F.when(F.col("high") != F.col("first"), F.xxhash64("low", "high")).otherwise(F.col("low"))
+    table = keep(plain.join(several, "low", "left").withColumn("sid", F.coalesce(other, "low")).drop("first"), "named")
+    if not table.where("n > 0").groupBy("sid").agg(F.min("high").alias("first"), F.max("high").alias("last")).where("first < last").isEmpty():
+        raise ValueError("the names of three sets clash")
+    return table
+
+
+def shared_keys(table: DataFrame, keep: Keep) -> DataFrame:
+    """(key, sid, hub) of the keys that several sets must send; ``hub`` is the smallest of them. See the module's text."""
+    sent = table.where("n > 0").select("sid", F.posexplode("keys").alias("at", "key"), "own", "spare_own", "spare_below")
+    # most keys are one document's: keys alone are counted first, and only rows of the others travel with names
+    repeated = keep(sent.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "repeated")
+    few = repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    below = F.col("at") >= F.col("own")
+    again = sent.join(F.broadcast(repeated) if few else repeated, "key", "left_semi")
+    again = keep(again.select("key", "sid", below.alias("below"), F.when(below, F.col("spare_below")).otherwise(F.col("spare_own")).alias("spare")).distinct(), "again")
+    held = again.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")  # copies of one set are not several
+    rarest = Window.partitionBy("sid", "below")
+    ranked = again.join(held, "key").withColumns({"nth": F.row_number().over(rarest.orderBy("sets", "key")), "all": F.count("*").over(rarest)})
+    needed = keep(ranked.where("nth <= all - spare").select("key", "sid"), "needed")
+    hubs = needed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").select("key", "hub")
+    return keep(needed.join(hubs, "key"), "shared")
 
 
 def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, sid, root, component_id) of each row; links are similarities of num/den or more.
+    """(doc_id, hash, n_shingles, sid, root, component_id) of each row; links are similarities of num/den or more.
 
-    ``sid`` names the row's set and ``root`` its class; both are null without shingles.
+    ``hash`` is the text's, ``sid`` names the row's set and ``root`` its class; the last two are null without shingles.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     with scratch(spark) as keep:
-        table = keep(described(docs, words, num, den), "described")
-        shown = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("shown")  # the row that shows the set
+        table = named_apart(keep(described(docs, words, num, den), "described"), keep)
+        shown = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "low", "high")).alias("shown")  # the row that shows the set
         nodes = table.where("n > 0").groupBy("sid").agg(shown, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        nodes = keep(nodes.select("sid", "n", "sketch", F.col("shown.doc_id").alias("rep"), F.col("shown.hash").alias("hash")), "nodes")
-        sent = table.where("n > 0").select("sid", F.explode("keys").alias("key"))
-        # most parts are one document's: their keys alone are counted first, and only rows of the others travel with names
-        repeated = keep(sent.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "repeated")
-        few = repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-        again = keep(sent.join(F.broadcast(repeated) if few else repeated, "key", "left_semi").distinct(), "again")
-        hubs = again.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").select("key", "hub")
-        shared = keep(again.join(hubs, "key"), "shared")
+        nodes = keep(nodes.select("sid", "n", "sketch", F.col("shown.doc_id").alias("rep"), F.col("shown.hash").alias("hash"), "shown.low", "shown.high"), "nodes")
+        shared = shared_keys(table, keep)
+        wanted = nodes.join(shared.select("sid").distinct(), "sid").select(F.col("rep").alias("doc_id"), "hash", "sid", "low", "high")
+        sets = keep(shingle_sets(docs, keep(wanted, "wanted"), words), "sets")
         pairs = shared.where("sid != hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-        tested = verified(keep(pairs, "pairs"), nodes, docs, words, num, den, keep)
-        for turn in itertools.count(1):
-            times = 8**turn  # more forests at once where the last one's pairs failed the count
-            roots = components(tested.where("linked"), keep)
-            placed = keep(shared.select("key", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
-            state = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-            open_keys = state.where("low < high and size > 2").select("key", "size")  # of two, one is the hub of the other
-            if times > 8:  # a part that put out no pair has none left
-                open_keys = open_keys.join(found.select("key").distinct(), "key", "left_semi")
-            found = keep(forest_pairs(keep(placed.join(open_keys, "key"), "open"), nodes, tested.where("not linked"), num, den, times), "found")
+        tested = [keep(counted(keep(plausible(pairs, nodes, num, den), "plausible"), sets, num, den), "tested")]
+        put_out: list[DataFrame] = []
+        for turn in itertools.count():
+            known = functools.reduce(DataFrame.unionByName, tested)
+            roots = components(known.where("linked"), keep)
+            found = keep(open_pairs(shared, roots, nodes, put_out, num, den, turn, keep), "found")
             if found.isEmpty():
                 break
-            pairs = keep(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-            tested = keep(tested.unionByName(verified(pairs, nodes, docs, words, num, den, keep)), "tested")
+            put_out.append(found)
+            pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+            tested.append(keep(counted(pairs, sets, num, den), "tested"))
         named = nodes.select("sid", "rep").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
         final = keep(named.join(least, "root").select("sid", "root", "component_id"), "classes")
         component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-        rows = table.select("doc_id", "n", "sid").join(final, "sid", "left")
-        return materialize(rows.select("doc_id", F.col("n").alias("n_shingles"), "sid", "root", component.alias("component_id")), "members")
+        rows = table.select("doc_id", "hash", "n", "sid").join(final, "sid", "left")
+        return materialize(rows.select("doc_id", "hash", F.col("n").alias("n_shingles"), "sid", "root", component.alias("component_id")), "members")
+
+
+def open_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, put_out: list[DataFrame], num: int, den: int, turn: int, keep: Keep) -> DataFrame:
+    """(key, a, b): pairs of different components that share a key and may link, without those that the key put out before.
+
+    The members of a key's largest component are passive: they meet active ones only. Active members are dealt to
+    the first blocks, passive ones to the rest, and each active block meets every block in one unit, as large as two
+    blocks; units are dealt to buckets of about BUCKET_BYTES, so neither a large key nor many small ones fill a task.
+    """
+    placed = keep(shared.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("members"))
+    total, most = F.sum("members").alias("total"), F.max(F.struct("members", "root")).alias("most")
+    open_keys = sizes.groupBy("key").agg(total, most, F.count("*").alias("parts")).where("parts > 1 and total > 2")  # of two, one is the hub of the other
+    if put_out:  # a key that put out no pair has none left
+        open_keys = open_keys.join(put_out[-1].select("key").distinct(), "key", "left_semi")
+    open_keys = open_keys.select("key", F.col("most.root").alias("main"), F.col("most.members").alias("passive"), (F.col("total") - F.col("most.members")).alias("active"))
+    loaded = keep(placed.join(open_keys, "key").join(nodes.select("sid", "n", F.size("sketch").alias("length")), "sid"), "open")
+    longest = loaded.groupBy("key").agg(F.max("length").alias("longest"))
+    block_rows = F.greatest(F.lit(16), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("longest"))))).cast("int")
+    blocks = lambda n: F.ceil(F.col(n) / F.col("block_rows")).cast("int")
+    members = loaded.join(longest, "key").withColumn("block_rows", block_rows).withColumns({"first": blocks("active"), "second": blocks("passive"), "is_main": F.col("root") == F.col("main")})
+    dealt = F.when(F.col("is_main"), F.col("first") + F.pmod(F.xxhash64("sid"), F.col("second"))).otherwise(F.pmod(F.xxhash64("sid"), F.col("first"))).cast("int")
+    members = keep(members.select("key", "sid", "root", "hub", "n", "first", "second", "is_main", "length", dealt.alias("block")), "members")
+    meets = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("first")).otherwise(F.col("first") + F.col("second")) - 1)
+    unit = lambda x, y: {"x": F.least(x, y), "y": F.greatest(x, y), "bucket": F.pmod(F.xxhash64("key", F.least(x, y), F.greatest(x, y)), F.lit(buckets))}
+    size = members.agg(F.sum((F.col("length") * 8 + 80) * F.size(meets))).first()[0] or 0
+    buckets = max(1, int(size) // BUCKET_BYTES)
+    met = members.withColumn("other", F.explode(meets)).withColumns(unit("block", "other")).select("bucket", "key", "x", "y", "sid", "root", "hub", "n", "block")
+    met = met.join(nodes.select("sid", "sketch"), "sid")
+    found = put_out or [shared.sparkSession.createDataFrame([], "key long, a long, b long")]
+    of = lambda x: members.select("key", F.col("sid").alias(x), F.col("block").alias(f"at_{x}"))
+    known = functools.reduce(DataFrame.unionByName, found).join(of("a"), ["key", "a"]).join(of("b"), ["key", "b"])
+    known = known.withColumns(unit("at_a", "at_b")).select("bucket", "key", "x", "y", "a", "b")
+
+    def compare(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "x", "y", "sid"], kind="stable")
+        key, first, second, sid, root, hub, n, block, sketches = (rows[c].to_numpy() for c in ("key", "x", "y", "sid", "root", "hub", "n", "block", "sketch"))
+        before = {u: g[["a", "b"]].to_numpy() for u, g in known.groupby(["key", "x", "y"])} if len(known) else {}
+        ends = np.flatnonzero((key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])) + 1
+        out = [np.empty((0, 3), np.int64)]
+        for low, high in itertools.pairwise([0, *ends.tolist(), len(rows)] if len(rows) else []):
+            at = slice(low, high)
+            pairs = may_link(sid[at], root[at], n[at], list(sketches[at]), block[at], hub[low], before.get((key[low], first[low], second[low])), num, den)
+            chosen = nearest_pairs(sid[at], root[at], pairs, turn)
+            out.append(np.c_[np.full(len(chosen), key[low]), chosen])
+        table = np.concatenate(out)
+        return pd.DataFrame({"key": table[:, 0], "a": table[:, 1], "b": table[:, 2]})
+
+    return met.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(compare, "key long, a long, b long")
 
 
 def distances(sketches: dict[int, np.ndarray], lengths: np.ndarray, low: int, high: int) -> np.ndarray:
@@ -285,72 +392,63 @@ def distances(sketches: dict[int, np.ndarray], lengths: np.ndarray, low: int, hi
     return out
 
 
-def forest(sid: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], block: np.ndarray, failed: list, num: int, den: int, times: int = 1) -> list[tuple[int, int]]:
-    """Pairs of members that may link: ``times`` spanning forests over their components that share no pair,
-    or, with ``times`` over MOST_FORESTS, all pairs up to MOST_FORESTS for each member.
+def may_link(sid: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], block: np.ndarray, hub: int, known: np.ndarray | None, num: int, den: int) -> np.ndarray:
+    """Places (i, j), i < j, of members of different components that may link, nearest first. ``sid`` is sorted.
 
     Where members are of two blocks only pairs across them are looked at, as each block meets itself elsewhere.
+    The hub was compared with all before; so were the pairs (a, b) in ``known``.
     """
-    start = np.unique(root, return_inverse=True)[1]
-    across, out = len(np.unique(block)) > 1, []
-    labels: list[np.ndarray] = []
-    most = MOST_FORESTS * len(sid)
+    across, found, apart_of = len(np.unique(block)) > 1, [], []
     lengths = np.array([len(x) for x in sketches])
     folded = {int(k): np.stack([fold(np.asarray(x, np.int64), k) for x in sketches if len(x) >= k]).view(np.uint64) for k in np.unique(lengths)}
+    done = np.zeros((len(sid), len(sid)), bool)
+    if known is not None:
+        i, j = np.searchsorted(sid, known[:, 0]), np.searchsorted(sid, known[:, 1])
+        done[i, j] = done[j, i] = True
+    done[sid == hub] = True
+    done[:, sid == hub] = True
     step = max(1, 262_144 // max(1, len(sid)))  # rows compared with all others at once
     for low in range(0, len(sid), step):
         rows = np.arange(low, min(low + step, len(sid)))
         apart = distances(folded, lengths, low, low + len(rows))
         small, large = np.minimum(n[rows][:, None], n[None]), np.maximum(n[rows][:, None], n[None])
-        may = (small * den >= large * num) & (apart * np.int64(num) <= small * (den - num)) & (start[rows][:, None] != start[None]) & (rows[:, None] < np.arange(len(sid))[None])
+        may = (small * den >= large * num) & (apart * np.int64(num) <= small * (den - num)) & (root[rows][:, None] != root[None]) & (rows[:, None] < np.arange(len(sid))[None]) & ~done[rows]
         if across:
             may &= block[rows][:, None] != block[None]
-        for i, j in np.argwhere(may).tolist():
-            i += low
-            label = next((x for x in labels if x[j] != x[i]), None)
-            if label is None and times <= MOST_FORESTS and len(labels) >= times or len(out) >= most:
-                continue
-            a, b = int(sid[i]), int(sid[j])
-            if (failed[i] is not None and b in failed[i]) or (failed[j] is not None and a in failed[j]):
-                continue
-            out.append((a, b))
-            if times > MOST_FORESTS:
-                continue
-            if label is None:
-                labels.append(label := start.copy())
-            label[label == label[j]] = label[i]
-    return out
-
-
-def forest_pairs(members: DataFrame, nodes: DataFrame, failed: DataFrame, num: int, den: int, times: int = 1, block_rows: int = 1_024, bucket_rows: int = 8_192) -> DataFrame:
-    """(key, a, b) from members (key, sid, root, size) of the parts whose members are not all connected.
-
-    A large part is cut into blocks and every two blocks meet in one unit; units are dealt to buckets, whose
-    number follows the rows, so neither a large part nor many small ones fill a task.
-    """
-    lists = failed.groupBy(F.col("b").alias("sid")).agg(F.collect_set("a").alias("failed"))
-    loaded = members.join(nodes.select("sid", "n", "sketch"), "sid").join(lists, "sid", "left")
-    blocks = F.ceil(F.col("size") / block_rows).cast("int")
-    own = loaded.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = met.select("key", unit.alias("unit"), "sid", "root", "n", "sketch", "block", "failed")
-    rows = members.agg(F.sum(blocks)).first()[0] or 0
-    buckets = max(1, rows // bucket_rows)
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["unit", "sid"], kind="stable")
-        unit_of, words = rows["unit"].to_numpy(), rows["sketch"].to_numpy()
-        sid, root, n, block, failed_of = (rows[c].to_numpy() for c in ("sid", "root", "n", "block", "failed"))
-        ends = np.flatnonzero(np.r_[unit_of[1:] != unit_of[:-1], True]) + 1
-        keys, found = rows["key"].to_numpy(), []
-        for x, y in zip([0, *ends[:-1]], ends, strict=True):
-            lost = [None if f is None or not len(f) else set(map(int, f)) for f in failed_of[x:y]]
-            found += [(keys[x], a, b) for a, b in forest(sid[x:y], root[x:y], n[x:y], list(words[x:y]), block[x:y], lost, num, den, times)]
-        table = np.array(found, np.int64).reshape(-1, 3)
-        return pd.DataFrame({"key": table[:, 0], "a": table[:, 1], "b": table[:, 2]})
-
-    return dealt.withColumn("bucket", F.pmod(F.col("unit"), F.lit(buckets))).groupBy("bucket").applyInPandas(compare, "key long, a long, b long")
+        i, j = np.nonzero(may)
+        found.append(np.c_[i + low, j])
+        apart_of.append(apart[i, j])
+    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    return pairs[np.argsort(np.concatenate(apart_of), kind="stable")] if len(pairs) else pairs
+
+
+def nearest_pairs(sid: np.ndarray, root: np.ndarray, pairs: np.ndarray, turn: int) -> np.ndarray:
+    """(a, b) of those ``pairs`` that are counted in this turn: all if they are few; else spanning forests over the
+    components that share no pair, each of the nearest pairs that are left; from the third turn on the nearest pairs."""
+    forests = FORESTS[turn] if turn < len(FORESTS) else MOST_PAIRS
+    most = forests * len(sid)
+    if len(pairs) > most and turn < len(FORESTS):
+        start, left, out = np.unique(root, return_inverse=True)[1], pairs, []
+        for _ in range(forests):
+            used = spanning_forest(start, left)
+            out.append(left[used])
+            left = np.delete(left, used, axis=0)
+        pairs = np.concatenate(out)
+    pairs = pairs[:most]
+    return np.c_[sid[pairs[:, 0]], sid[pairs[:, 1]]].astype(np.int64)
+
+
+def spanning_forest(start: np.ndarray, pairs: np.ndarray, step: int = 4_096) -> list[int]:
+    """Places of those pairs that, taken in order, each join two components; ``start`` is each member's component."""
+    label, used = start.copy(), []
+    for low in range(0, len(pairs), step):
+        i, j = pairs[low : low + step].T
+        while (apart := np.flatnonzero(label[i] != label[j])).size:
+            k = int(apart[0])
+            used.append(low + k)
+            label[label == label[j[k]]] = label[i[k]]
+            i, j, low = i[k + 1 :], j[k + 1 :], low + k + 1
+    return used
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -362,21 +460,16 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
         gone = materialize(gone, "gone")
         few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    return _one_of_repeated(docs, found, words)
-
-
-def _one_of_repeated(docs: DataFrame, found: DataFrame, words: int) -> DataFrame:
-    """As ``one_of_each`` where doc_ids repeat or are null: rows are told apart by their set and a number."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            sid = pa.array([name_of(u) if len(u) else None for u in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sid], names=[*batch.schema.names, "__sid"])
-
-    named = docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __sid long")
-    of_sid = found.where("sid is not null").select(F.col("sid").alias("__sid"), F.col("root").alias("__class"), "doc_id")
-    keeper = of_sid.groupBy("__class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__sid")).alias("k"))
-    keeper = keeper.select(F.col("k.doc_id").alias("__id"), F.col("k.__sid").alias("__sid")).distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id", "__sid").orderBy("doc_id"))
-    one = named.where("__sid is not null").join(keeper, "__sid").where(F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__n", first).where("__n = 1")
-    return one.select(*docs.columns).unionByName(named.where("__sid is null").select(*docs.columns))
+    return _one_of_repeated(docs, found)
+
+
+def _one_of_repeated(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """As ``one_of_each`` where doc_ids repeat or are null: rows are told apart by doc_id and the text's hash."""
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    shown = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("k")
+    kept = found.where("root is not null").groupBy("root").agg(shown).select(F.col("k.doc_id").alias("__id"), F.col("k.hash").alias("__text"))
+    marked = docs.withColumn("__hash", F.xxhash64("text"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("__hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
+    one = marked.where(has_words).join(kept, same).withColumn("__n", first).where("__n = 1")
+    return one.select(*docs.columns).unionByName(docs.where(~has_words).select(*docs.columns))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import materialize, bounded_batches
 
 EMAIL = re.compile(r"(?<![\w.%+\-])[\w%+\-][\w.%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+")
 NUMBER = re.compile(r"\d[\d\- ().]{4,}")  # widened to the left by + and (, then taken apart by NUMBER_FORMS
@@ -266,7 +266,7 @@ def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tupl
 
 def entities(docs: DataFrame) -> DataFrame:
     """Distinct (kind, canonical) of the corpus. Duplicates of a batch go before the shuffle."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,7 +306,7 @@ def replace_pii(docs: DataFrame, key: bytes = b"tessera", report: bool = True) -
     The texts are read twice and never shuffled, unless a collision gave some entity another attempt:
     then each row is joined with the attempts of its own entities.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     moved = attempts_for(docs, key)
     columns = docs.columns
     if moved is not None:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_batches
 
 #: Unicode's White_Space, which the tokenizers' ``\s`` means; Python's ``\s`` has U+001C-001F besides.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -168,7 +168,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, chunk_chars: int = 65_536
 
     ``tokenizer_path`` must exist on every executor, as the library's package data does.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer_path)

@@ -3,9 +3,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import parity_join
-from tessera.llm.parity_join import classes, differing, forest, one_of_each, part_keys, shingle_set, sketch
+from tessera.llm.parity_join import classes, differing, may_link, nearest_pairs, one_of_each, part_keys, shingle_set, sketch
 
 
 def brute_sets(rows, k):
@@ -79,7 +80,21 @@ def test_linked_sets_share_a_part_and_sketches_bound_the_difference(num, den):
         apart = np.bitwise_count((sketch(base) ^ sketch(other)).view(np.uint64)).sum() if len(other) else 0
         assert apart <= union - both
         if len(other) and den * both >= num * union and both < union:
-            assert set(part_keys(base, num, den).tolist()) & set(part_keys(other, num, den).tolist())
+            for order in (1, -1):  # any order will do
+                sent = [{k for keys, spare in part_keys(x, num, den) for k in sorted(keys.tolist())[::order][: len(keys) - spare]} for x in (base, other)]
+                assert sent[0] & sent[1]
+
+
+def test_sets_with_more_empty_parts_than_usual_share_a_part():
+    """Shingles that fall into few parts: the parts that hold any may all differ."""
+    for num, den, size in ((80, 100, 5), (80, 100, 9), (90, 100, 12)):
+        low = np.arange(size + 1, dtype=np.uint64)  # all in the first part
+        high = low + np.uint64(2**63)  # all in the middle part
+        for x, y in ((low[:-1], low), (low[:-1], np.r_[low[1:-1], high[:1]]), (high[:-1], high)):
+            both, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+            if den * both >= num * union:
+                sent = [{k for keys, spare in part_keys(np.unique(u), num, den) for k in sorted(keys.tolist())[: len(keys) - spare]} for u in (x, y)]
+                assert sent[0] & sent[1]
 
 
 def test_a_large_group_with_outliers(spark):
@@ -124,20 +139,20 @@ def test_rounds_end_where_a_unit_mixes_sketch_lengths_and_pairs_are_just_below_t
                 text[i * 8] = f"c{rng.random()}"
             texts.append(" ".join(text))
     rows = list(enumerate(texts))
-    turns, real = [], parity_join.forest_pairs
+    turns, real = [], parity_join.open_pairs
 
     def counted(*args, **kwargs):
         turns.append(args)
         assert len(turns) <= 6, "the rounds do not end"
         return real(*args, **kwargs)
 
-    monkeypatch.setattr(parity_join, "forest_pairs", counted)
+    monkeypatch.setattr(parity_join, "open_pairs", counted)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in classes(docs, 5, 80, 100).collect()), key=repr)
     assert got == brute(rows, 5, 80, 100)
 
 
-def test_forest_compares_each_pair_at_its_own_sketch_length():
+def test_each_pair_is_compared_at_its_own_sketch_length():
     """170 differing shingles of 600: likely at 1,024 bits, not at 2,048."""
     rng = np.random.default_rng(3)
     both = rng.integers(0, 1 << 64, 515, np.uint64)
@@ -146,17 +161,55 @@ def test_forest_compares_each_pair_at_its_own_sketch_length():
     apart = lambda a, b: int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
     assert apart(parity_join.fold(marks[0], 16), parity_join.fold(marks[1], 16)) <= 150 < apart(marks[0], marks[1])
     sid = np.arange(3)
-    found = forest(sid, sid, np.array([600, 600, 500]), marks, np.zeros(3, int), [None] * 3, 80, 100, 8)
-    assert (0, 1) not in found
+    found = may_link(sid, sid, np.array([600, 600, 500]), marks, np.zeros(3, int), -1, None, 80, 100)
+    assert [0, 1] not in found.tolist() and [0, 2] in found.tolist()
 
 
-def test_pairs_of_two_components_that_all_failed_but_one_need_few_turns():
+def test_pairs_of_two_components_that_all_fail_need_few_turns_and_little_memory():
+    import tracemalloc
+
     u = np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    sid, root, failed, turns = np.arange(200), np.repeat([0, 100], 100), [set() for _ in range(200)], 0
-    while found := forest(sid, root, np.full(200, 100), [sketch(u)] * 200, np.zeros(200, int), failed, 80, 100, 8 ** (turns + 1)):
-        for a, b in found:
-            assert a not in failed[b]
-            failed[b].add(a)
-        turns += 1
-        assert turns <= 4
-    assert sum(map(len, failed)) == 100 * 100
+    sid, root, known, turn = np.arange(400), np.repeat([0, 200], 200), np.empty((0, 2), np.int64), 0
+    tracemalloc.start()
+    while True:
+        pairs = may_link(sid, root, np.full(400, 100), [sketch(u)] * 400, np.zeros(400, int), -1, known, 80, 100)
+        if not len(found := nearest_pairs(sid, root, pairs, turn)):
+            break
+        assert not {*map(tuple, found.tolist())} & {*map(tuple, known.tolist())}
+        known, turn = np.concatenate([known, found]), turn + 1
+        assert turn <= 4
+    assert len(known) == 200 * 200 and tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_a_key_of_very_many_sets_moves_few_rows(spark):
+    """50,000 sets share a key; three are of other components than the rest. Rows of units follow the members, not their square."""
+    n = 50_000
+    shared = spark.range(n).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("sid"), F.lit(0).cast("long").alias("hub"))
+    roots = spark.range(3, n).select(F.col("id").alias("sid"), F.lit(3).cast("long").alias("root"))
+    far = np.random.default_rng(1).integers(-(2**62), 2**62, (4, 16)).tolist()
+    marks = F.array(*[F.array(*[F.lit(x) for x in m]) for m in far])
+    nodes = spark.range(n).select(F.col("id").alias("sid"), F.lit(100).cast("long").alias("n"), F.get(marks, F.least("id", F.lit(3)).cast("int")).alias("sketch"))
+    written = {}
+
+    def keep(df, name):
+        written[name] = df.persist()
+        return written[name]
+
+    found = parity_join.open_pairs(shared, roots, nodes, [], 80, 100, 0, keep)
+    assert found.count() == 0
+    members = written["members"]
+    moved = members.select(F.sum(F.when(F.col("is_main"), F.col("first")).otherwise(F.col("first") + F.col("second")))).first()[0]
+    assert members.count() == n and moved < 1.01 * n
+    for df in written.values():
+        df.unpersist()
+
+
+def test_clashing_names_are_told_apart(spark):
+    rows = [(0, "a b c d e"), (1, "p q r s t u"), (2, "a b c d e"), (3, "x"), (4, "P q r s t u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = parity_join.described(docs, 3, 90, 100).toPandas()
+    table.loc[table["n"].isin([3, 4]), "sid"] = 5
+    named = parity_join.named_apart(spark.createDataFrame(table[["doc_id", "n", "sid", "high"]]), parity_join.materialize)
+    got = {r.doc_id: r.sid for r in named.collect()}
+    assert got[0] == got[2] and got[1] == got[4] and len({*got.values()}) == 3
