@@ -52,12 +52,12 @@ _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np
 SKETCH_BITS, SKETCH_FACTOR = 1024, 8
 #: A set of sids up to this many rows (16 bytes each) may be broadcast to filter a scan.
 BROADCAST_ROWS = 500_000
-#: So may this many part keys (8 bytes each, about 50 MB as a hash table).
-BROADCAST_KEYS = 1_000_000
+#: So may this many part keys (8 bytes each, about 100 MB as a hash table).
+BROADCAST_KEYS = 2_000_000
 #: Spanning forests that a unit puts out in its first and second round; then pairs, this many times its members.
 FORESTS, MOST_PAIRS = (8, 64), 512
 #: Rows and bytes of sketches of a block, two of which meet in memory, and bytes of what one task gets at a time.
-BLOCK_ROWS, BLOCK_BYTES, BUCKET_BYTES = 1_024, 8 << 20, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES, BUCKET_BYTES = 1_024, 8 << 20, 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,6 +67,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _new(x: np.ndarray) -> np.ndarray:
+    """Where a sorted array, not empty, has another value than before."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; A-Z count as a-z; fewer words make one shingle."""
     found = (text or "").encode().lower().split()
@@ -77,7 +84,8 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     out = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
         out = mix(out * _M3 + h[i : len(h) - width + 1 + i])
-    return np.unique(out)
+    out.sort()
+    return out[_new(out)]
 
 
 def bands(ratio: float = 1.5, most: int = 1 << 40) -> list[int]:
@@ -106,7 +114,7 @@ def part_keys(u: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]]
 
     Of the keys in any common order all but the last ``spare`` must be sent.
     """
-    size = len(u)
+    size, mixed = len(u), mix(u)
     d = differing(size, num, den)
     own = int(np.searchsorted(_BAND_ARRAY, size, "right")) - 1
     out = []
@@ -116,9 +124,9 @@ def part_keys(u: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]]
             continue
         parts = part_count(differing(_BANDS[band + 1] - 1, num, den))
         at = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with u
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        starts = np.flatnonzero(_new(at))
         place = lambda part: mix(part + np.uint64((band + 1) << 40)) * _M3
-        keys = mix(np.bitwise_xor.reduceat(mix(u), starts) + place(at[starts]))
+        keys = mix(np.bitwise_xor.reduceat(mixed, starts) + place(at[starts]))
         spare = len(keys) - d - 1
         if spare < 0:  # empty parts agree, too; they stand last in the order
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at[starts])
@@ -146,10 +154,10 @@ def fold(words: np.ndarray, length: int) -> np.ndarray:
 
 
 def name_of(u: np.ndarray) -> tuple[int, int]:
-    """The set's name, 128 bits as two signed integers: an XOR and a sum of differently scrambled hashes, with the size."""
-    size = np.array([len(u)], np.uint64)
-    low = mix(np.array([np.bitwise_xor.reduce(mix(u * _M2 + np.uint64(1)))]) + size * _M3)
-    high = mix(np.array([np.add.reduce(mix(u * _M1 + np.uint64(3)))]) + size * _M2)
+    """The set's name, 128 bits as two signed integers: the XOR and the sum of scrambled hashes, with the size."""
+    size, mixed = np.array([len(u)], np.uint64), mix(u * _M2 + np.uint64(1))
+    low = mix(np.array([np.bitwise_xor.reduce(mixed)]) + size * _M3)
+    high = mix(np.array([np.add.reduce(mixed)]) + size * _M2)
     return int(low.view(np.int64)[0]), int(high.view(np.int64)[0])
 
 
@@ -277,13 +285,15 @@ def named_apart(table: DataFrame, keep: Keep) -> DataFrame:
 
 def shared_keys(table: DataFrame, keep: Keep) -> DataFrame:
     """(key, sid, hub) of the keys that several sets must send; ``hub`` is the smallest of them. See the module's text."""
-    sent = table.where("n > 0").select("sid", F.posexplode("keys").alias("at", "key"), "own", "spare_own", "spare_below")
+    several = table.where("n > 0")
     # most keys are one document's: keys alone are counted first, and only rows of the others travel with names
-    repeated = keep(sent.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "repeated")
+    repeated = keep(several.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "repeated")
     few = repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     below = F.col("at") >= F.col("own")
-    again = sent.join(F.broadcast(repeated) if few else repeated, "key", "left_semi")
-    again = keep(again.select("key", "sid", below.alias("below"), F.when(below, F.col("spare_below")).otherwise(F.col("spare_own")).alias("spare")).distinct(), "again")
+    spare = F.when(below, -1 - F.col("spare_below")).otherwise(F.col("spare_own")).alias("spare")  # under 0 in the band below
+    sent = several.select("sid", F.posexplode("keys").alias("at", "key"), "own", "spare_own", "spare_below").select("key", "sid", spare)
+    again = sent.join(F.broadcast(repeated) if few else repeated, "key", "left_semi").distinct()
+    again = keep(again.select("key", "sid", (F.col("spare") < 0).alias("below"), F.when(F.col("spare") < 0, -1 - F.col("spare")).otherwise(F.col("spare")).alias("spare")), "again")
     held = again.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")  # copies of one set are not several
     rarest = Window.partitionBy("sid", "below")
     ranked = again.join(held, "key").withColumns({"nth": F.row_number().over(rarest.orderBy("sets", "key")), "all": F.count("*").over(rarest)})

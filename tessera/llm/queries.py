@@ -57,9 +57,9 @@ def op5_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii_surrogates import replace_pii
+    from .pii_surrogates import configured_key, replace_pii
 
-    done = replace_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = replace_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"), configured_key(spark))
     return done.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_entities", "kinds")
 
 

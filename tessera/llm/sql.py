@@ -1,6 +1,18 @@
 """DuckDB SQL of the queries that SQL can express over whole tables."""
 
-_LEAF = r"[^ \n]+ *(?:[^ \n]+ *)?(?:[^ \n]+ *)?(?:[^ \n]+ *)?"
+_LEAF = r"(?:[^ \n]*[^ \ne.,] +){0,15}[^ \n]+ *| +"
+
+
+def _near(x: str, y: str) -> str:
+    """Likeness of the trees x and y (numbers of the texts): leaves under equal paragraphs at one place, and distinct ones under the others."""
+    same = f"coalesce(list_sum(list_transform(list_filter(range(1, least(len(p{x}), len(p{y})) + 1), lambda j: p{x}[j] = p{y}[j]), lambda j: len(l{x}[j]))), 0)"
+    rest = lambda a, b: f"list_distinct(flatten(list_transform(list_filter(range(1, len(p{a}) + 1), lambda j: j > len(p{b}) OR p{a}[j] <> p{b}[j]), lambda j: l{a}[j])))"
+    return f"""CASE WHEN r{x} = r{y} THEN 1.0::DOUBLE WHEN 2 * {same} + len({rest(x, y)}) + len({rest(y, x)}) = 0 THEN 0.0::DOUBLE
+    ELSE (2 * {same} + 2 * len(list_intersect({rest(x, y)}, {rest(y, x)})))::DOUBLE / (2 * {same} + len({rest(x, y)}) + len({rest(y, x)})) END"""
+
+
+_HASHED = "list_transform(range(0, len({p}), 8), lambda i: sha256('S' || array_to_string({p}[i + 1 : i + 8], '|')))"
+_ROOT = "sha256('R' || len({p}) || '|' || array_to_string(" + _HASHED + ", '|'))"
 
 #: Merkle trees as nested hashes; leaves as strings, of which only the numbers in common count.
 OP3 = rf"""
@@ -10,27 +22,16 @@ WITH base AS (
   SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM base WINDOW w AS (ORDER BY doc_id)
 ), edited AS (
   SELECT *, left(text, n - n // 4) || left(next_text, n // 4) AS edited FROM near
+), split AS (
+  SELECT *, string_split(text, chr(10)) AS t0, string_split(edited, chr(10)) AS t1, string_split(next_text, chr(10)) AS t2 FROM edited
 ), parts AS (
-  SELECT *,
-    list_transform(string_split(text, chr(10)), lambda p: sha256('P' || p)) AS p0,
-    list_transform(string_split(edited, chr(10)), lambda p: sha256('P' || p)) AS p1,
-    list_transform(string_split(next_text, chr(10)), lambda p: sha256('P' || p)) AS p2,
-    list_distinct(regexp_extract_all(text, '{_LEAF}')) AS l0,
-    list_distinct(regexp_extract_all(edited, '{_LEAF}')) AS l1,
-    list_distinct(regexp_extract_all(next_text, '{_LEAF}')) AS l2
-  FROM edited
+  SELECT *, {", ".join(f"list_transform(t{i}, lambda p: sha256('P' || p)) AS p{i}, list_transform(t{i}, lambda p: regexp_extract_all(p, '{_LEAF}')) AS l{i}" for i in "012")} FROM split
 ), roots AS (
-  SELECT *,
-    sha256('R' || len(p0) || '|' || array_to_string(list_transform(range(0, len(p0), 8), lambda i: sha256('S' || array_to_string(p0[i + 1 : i + 8], '|'))), '|')) AS r0,
-    sha256('R' || len(p1) || '|' || array_to_string(list_transform(range(0, len(p1), 8), lambda i: sha256('S' || array_to_string(p1[i + 1 : i + 8], '|'))), '|')) AS r1,
-    sha256('R' || len(p2) || '|' || array_to_string(list_transform(range(0, len(p2), 8), lambda i: sha256('S' || array_to_string(p2[i + 1 : i + 8], '|'))), '|')) AS r2
-  FROM parts
+  SELECT *, {", ".join(_ROOT.format(p=f"p{i}") + f" AS r{i}" for i in "012")},
+    list_filter(range(1, greatest(len(p0), len(p1)) + 1), lambda j: p0[j] IS DISTINCT FROM p1[j]) AS places FROM parts
 )
 SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, r0 AS fingerprint, r1 AS edited_fingerprint,
-  CASE WHEN r0 = r1 THEN 1.0::DOUBLE WHEN len(l0) + len(l1) = 0 THEN 0.0::DOUBLE
-    ELSE 2.0::DOUBLE * len(list_intersect(l0, l1)) / (len(l0) + len(l1)) END AS near_edited,
-  CASE WHEN r0 = r2 THEN 1.0::DOUBLE WHEN len(l0) + len(l2) = 0 THEN 0.0::DOUBLE
-    ELSE 2.0::DOUBLE * len(list_intersect(l0, l2)) / (len(l0) + len(l2)) END AS near_next
+  {_near("0", "1")} AS near_edited, {_near("0", "2")} AS near_next, (places[1] - 1)::BIGINT AS first_edited, len(places)::BIGINT AS n_edited
 FROM roots
 """
 
@@ -54,7 +55,7 @@ WITH RECURSIVE sized AS (
   SELECT key, source_size, least(weight * (SELECT level FROM levels ORDER BY round DESC LIMIT 1), most) AS target FROM sources
 ), dealt AS (
   SELECT *, length(bin(size)) * 4 + CASE WHEN length(bin(size)) >= 3 THEN (size >> (length(bin(size)) - 3)::BIGINT) & 3 ELSE 0 END AS class,
-    (coalesce(doc_id, 0) + coalesce(doc_id, 0) // 64 + coalesce(doc_id, 0) // 4096) % 64 AS part
+    (coalesce(doc_id, 0) + coalesce(doc_id, 0) // 64 + coalesce(doc_id, 0) // 4096) % (64 * (1 + (SELECT count(*) FROM sized) // 4000000)) AS part
   FROM sized
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY key ORDER BY class, part, doc_id NULLS FIRST, size) - 1 AS position FROM dealt
