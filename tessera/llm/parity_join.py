@@ -52,8 +52,6 @@ _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np
 SKETCH_BITS, SKETCH_FACTOR = 1024, 8
 #: A set of sids up to this many rows (16 bytes each) may be broadcast to filter a scan.
 BROADCAST_ROWS = 500_000
-#: So may this many part keys (8 bytes each, about 100 MB as a hash table).
-BROADCAST_KEYS = 2_000_000
 #: Spanning forests that a unit puts out in its first and second round; then pairs, this many times its members.
 FORESTS, MOST_PAIRS = (8, 64), 512
 #: Rows and bytes of sketches of a block, two of which meet in memory, and bytes of what one task gets at a time.
@@ -106,7 +104,7 @@ def differing(size: int, num: int, den: int) -> int:
 
 def part_count(most_differing: int) -> int:
     """Parts of a band: some more than may differ, so that nearly every set has more parts with shingles than that."""
-    return (most_differing + 1) * 115 // 100 + 6
+    return (most_differing + 1) * 108 // 100 + 5
 
 
 def part_keys(u: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]]:
@@ -284,15 +282,19 @@ def named_apart(table: DataFrame, keep: Keep) -> DataFrame:
 
 
 def shared_keys(table: DataFrame, keep: Keep) -> DataFrame:
-    """(key, sid, hub) of the keys that several sets must send; ``hub`` is the smallest of them. See the module's text."""
+    """(key, sid, hub) of the keys that several sets must send; ``hub`` is the smallest of them. See the module's text.
+
+    Keys are shortened to as many bits as tell nearly all of them apart; where two become one, that adds a candidate.
+    """
     several = table.where("n > 0")
+    total = several.agg(F.sum(F.size("keys"))).first()[0] or 0
+    bits = min(63, int(total).bit_length() + 7)
+    short = F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).alias("key")
     # most keys are one document's: keys alone are counted first, and only rows of the others travel with names
-    repeated = keep(several.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "repeated")
-    few = repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    below = F.col("at") >= F.col("own")
-    spare = F.when(below, -1 - F.col("spare_below")).otherwise(F.col("spare_own")).alias("spare")  # under 0 in the band below
-    sent = several.select("sid", F.posexplode("keys").alias("at", "key"), "own", "spare_own", "spare_below").select("key", "sid", spare)
-    again = sent.join(F.broadcast(repeated) if few else repeated, "key", "left_semi").distinct()
+    repeated = keep(several.select(F.explode("keys").alias("key")).select(short).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "repeated")
+    spare = F.when(F.col("at") >= F.col("own"), -1 - F.col("spare_below")).otherwise(F.col("spare_own")).alias("spare")  # under 0 in the band below
+    sent = several.select("sid", F.posexplode("keys").alias("at", "key"), "own", "spare_own", "spare_below").select(short, "sid", spare)
+    again = sent.join(repeated, "key", "left_semi").distinct()
     again = keep(again.select("key", "sid", (F.col("spare") < 0).alias("below"), F.when(F.col("spare") < 0, -1 - F.col("spare")).otherwise(F.col("spare")).alias("spare")), "again")
     held = again.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")  # copies of one set are not several
     rarest = Window.partitionBy("sid", "below")
