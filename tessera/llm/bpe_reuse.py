@@ -1,19 +1,20 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-A text is cut where a rolling hash of the last 32 bytes has ``mask`` zero bits, so passages shared by
-documents yield the same chunks wherever they stand. A chunk is encoded once while it stays in a
-bounded cache of the Python worker (workers live across tasks). Chunk edges fall anywhere; so each
-join is repaired: the text from the last stable boundary before it to the first one after it is
-encoded again, and if either side has none, the window widens over more chunks until it has. A boundary
+A text is cut where a rolling hash of the last 32 bytes has ``bits`` zero bits, so passages shared by
+documents yield the same chunks wherever they stand. Chunks are named by 128-bit hashes. Names are counted over
+the corpus; the chunks that are in it most often, as many as fit into ``dictionary_bytes``, are encoded once, and
+that dictionary goes to all tasks. A chunk that is shared less often is encoded once for each Python worker while it stays in
+the worker's bounded cache: sharing those across workers, too, would take a table of all chunks and a shuffle of
+all texts and ids, which costs more disk than encoding them again. Neither bound changes any result.
+
+Chunk edges fall anywhere; so each join is repaired: the text from the last stable boundary before it to the first one
+after it is encoded again, and if either side has none, the window widens over more chunks until it has. A boundary
 is stable where a non-space character is followed by a space: no pre-token of the byte-level pattern
 holds a space after a non-space, its look-ahead only looks at what follows white space, and no special
 token holds a space, so encodings on both sides are independent and the result is exactly the library's.
 
-Cache scope: sharing across workers would need a table of all chunks and a shuffle of all texts and ids,
-which costs more disk than encoding again.
-
 Null text: empty. Empty texts have no ids. Repeated rows are given as often as they come; extra columns
-are not read; an empty table gives an empty table.
+are not read; an empty table gives an empty table. Very long texts are one row of one batch.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -65,10 +66,19 @@ def cut_points(data: bytes, bits: int = 11, least: int = 256) -> list[int]:
     return out
 
 
+def chunks_of(text: str, bits: int) -> Iterator[str]:
+    data = text.encode()
+    for low, high in pairwise([0, *cut_points(data, bits)]):
+        yield data[low:high].decode()
+
+
+Chunk = tuple[int, int, tuple[int, ...]]  # end of the head, start of the tail, ids between them; both 0 without a stable boundary
+
+
 class Codec:
     """Encodes and decodes with a byte-level BPE file of the ``tokenizers`` library."""
 
-    def __init__(self, path: str, cache_pieces: int = 600_000, cache_chunk_bytes: int = 64 << 20):
+    def __init__(self, path: str, cache_pieces: int = 600_000, cache_chunk_bytes: int = 32 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core
         from tokenizers import Tokenizer
 
@@ -84,7 +94,9 @@ class Codec:
         self.digits = [str(i) for i in range(size)]
         self.bytes = [self._token_bytes(self.tokenizer.id_to_token(i) or "", visible) for i in range(size)]
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[int, tuple[int, int, tuple[int, ...]]] = {}
+        self.chunks: dict[bytes, Chunk] = {}
+        self.shared: dict[bytes, Chunk] = {}
+        self.looked_up = self.found_shared = self.found_own = 0
         self.chunk_bytes, self.cache_pieces, self.cache_chunk_bytes = 0, cache_pieces, cache_chunk_bytes
 
     @staticmethod
@@ -117,23 +129,30 @@ class Codec:
             (cache if len(p) <= 64 else extra)[p] = tuple(e.ids)
         return list(chain.from_iterable(cache[p] if p in cache else extra[p] for p in pieces))
 
-    def chunk(self, text: str) -> tuple[int, int, tuple[int, ...]]:
-        """(end of the head, start of the tail, ids between them); both 0 if the chunk has no stable boundary."""
-        key = xxhash.xxh3_128_intdigest(text.encode())
-        if (found := self.chunks.get(key)) is not None:
-            return found
+    def fresh(self, text: str) -> Chunk:
+        """A chunk, encoded between its first and last stable boundary."""
         first = STABLE.search(text)
         if first is None:
-            found = (0, 0, ())
-        else:
-            head = first.start()
-            tail = head
-            for m in STABLE.finditer(text, max(head, len(text) - 512)):
+            return (0, 0, ())
+        head = tail = first.start()
+        for m in STABLE.finditer(text, max(head, len(text) - 512)):
+            tail = m.start()
+        if tail == head:
+            for m in STABLE.finditer(text, head):
                 tail = m.start()
-            if tail == head:
-                for m in STABLE.finditer(text, head):
-                    tail = m.start()
-            found = (head, tail, tuple(self.encode_stable(text[head:tail])))
+        return (head, tail, tuple(self.encode_stable(text[head:tail])))
+
+    def chunk(self, text: str) -> Chunk:
+        """A chunk from the dictionary, the worker's cache, or encoded now."""
+        key = xxhash.xxh3_128_digest(text.encode())
+        self.looked_up += 1
+        if (found := self.shared.get(key)) is not None:
+            self.found_shared += 1
+            return found
+        if (found := self.chunks.get(key)) is not None:
+            self.found_own += 1
+            return found
+        found = self.fresh(text)
         cost = 200 + 8 * len(found[2])
         if self.chunk_bytes + cost > self.cache_chunk_bytes:
             self.chunks.clear()
@@ -143,12 +162,9 @@ class Codec:
         return found
 
     def encode(self, text: str, bits: int = 11) -> list[int]:
-        data = text.encode()
         ids: list[int] = []
-        last, open_text = 0, ""
-        for end in cut_points(data, bits):
-            part = data[last:end].decode()
-            last = end
+        open_text = ""
+        for part in chunks_of(text, bits):
             head, tail, middle = self.chunk(part)
             if head == 0:
                 open_text += part  # no stable boundary: the window widens over the next chunk
@@ -182,16 +198,77 @@ def codec_for(path: str) -> Codec:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
-    """Encodes each row's text, decodes the ids, and returns both digests; ``with_ids`` adds ``ids`` and ``decoded``."""
+def common_chunks(docs: DataFrame, bits: int, dictionary_bytes: int) -> DataFrame:
+    """(key, n, size) of the chunks that occur most often, at least twice, as many as fit into ``dictionary_bytes``.
+
+    Names alone are counted, after counting them within each batch.
+    """
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[bytes, list[int]] = {}
+            for text in batch.column(0).to_pylist():
+                for part in chunks_of(text or "", bits):
+                    raw = part.encode()
+                    seen.setdefault(xxhash.xxh3_128_digest(raw), [0, len(raw)])[0] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([n for n, _ in seen.values()], pa.int64()), pa.array([b for _, b in seen.values()], pa.int64())], names=["key", "n", "size"])
+
+    counts = docs.select("text").mapInArrow(names, "key binary, n long, size long").groupBy("key").agg(F.sum("n").alias("n"), F.max("size").alias("size")).where("n > 1")
+    most = dictionary_bytes // DICTIONARY_ROW
+    return counts.orderBy(F.desc("n"), "key").limit(most)
+
+
+#: Bytes that a chunk of the dictionary takes on average, in each Python worker: about 500 ids and a name.
+DICTIONARY_ROW = 6_000
+
+
+def dictionary(docs: DataFrame, tokenizer_path: str, bits: int = 11, dictionary_bytes: int = 48 << 20) -> dict[bytes, Chunk]:
+    """The most common chunks of the corpus, each encoded once, in Spark."""
+    wanted = {bytes(r["key"]) for r in common_chunks(docs, bits, dictionary_bytes).collect()}  # bounded by dictionary_bytes
+    if not wanted:
+        return {}
+    asked = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
+        for batch in batches:
+            found: dict[bytes, str] = {}
+            for text in batch.column(0).to_pylist():
+                for part in chunks_of(text or "", bits):
+                    key = xxhash.xxh3_128_digest(part.encode())
+                    if key in asked.value and key not in sent:
+                        found[key] = part
+                        sent.add(key)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], names=["key", "text"])
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_for(tokenizer_path)
+        for batch in batches:
+            made = [codec.fresh(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.int32()), pa.array([list(m[2]) for m in made], pa.list_(pa.int32()))], names=["key", "head", "tail", "ids"])
+
+    one = docs.select("text").mapInArrow(texts, "key binary, text string").dropDuplicates(["key"])
+    rows = one.mapInArrow(encoded, "key binary, head int, tail int, ids array<int>").collect()  # bounded by dictionary_bytes
+    return {bytes(r["key"]): (r["head"], r["tail"], tuple(r["ids"])) for r in rows}
+
+
+def encode_decode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, bits: int = 11, dictionary_bytes: int = 48 << 20, with_reuse: bool = False) -> DataFrame:
+    """Encodes each row's text, decodes the ids, and returns both digests; ``with_ids`` adds ``ids`` and ``decoded``.
+
+    ``with_reuse`` adds, for measuring, how many chunks the row has and how many came from the dictionary and from the
+    worker's cache. ``dictionary_bytes`` 0 makes no dictionary.
+    """
     bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, tokenizer_path, bits, dictionary_bytes) if dictionary_bytes else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(tokenizer_path)
+        codec.shared = shared.value
         for batch in batches:
-            n, ids_hash, text_hash, all_ids, decoded = [], [], [], [], []
+            n, ids_hash, text_hash, all_ids, decoded, reuse = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
-                ids = codec.encode(text or "")
+                before = (codec.looked_up, codec.found_shared, codec.found_own)
+                ids = codec.encode(text or "", bits)
                 back = codec.decode(ids)
                 n.append(len(ids))
                 ids_hash.append(hashlib.sha256(codec.listing(ids).encode()).hexdigest())
@@ -199,11 +276,17 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False)
                 if with_ids:
                     all_ids.append(ids)
                     decoded.append(back.decode())
+                if with_reuse:
+                    reuse.append([b - a for a, b in zip(before, (codec.looked_up, codec.found_shared, codec.found_own), strict=True)])
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 names += ["ids", "decoded"]
+            if with_reuse:
+                columns += [pa.array([r[i] for r in reuse], pa.int64()) for i in range(3)]
+                names += ["chunks", "from_dictionary", "from_cache"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA + (", ids array<int>, decoded string" if with_ids else ""))
+    schema = SCHEMA + ", ids array<int>, decoded string" * with_ids + ", chunks long, from_dictionary long, from_cache long" * with_reuse
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

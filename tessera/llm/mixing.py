@@ -8,7 +8,7 @@ the i-th is i * r, and with an offset u the document is emitted once for each in
 
 The order within a source is by size class (four to an octave), so that every stretch of the prefix sum
 holds documents of like size and the words taken follow the target; inside a class documents are dealt
-into ``splits`` parts by id. Positions come from counts of (source, class, part) and a numbering inside
+into parts by id, ``splits`` for every four million documents. Positions come from counts of (source, class, part) and a numbering inside
 each, so no task ever holds a whole source. The offset is one of ``offsets`` equally spaced ones that start
 at a point drawn from the source's name: the one whose words come nearest to the target.
 
@@ -48,15 +48,22 @@ def source_targets(sized: DataFrame, weights: Sequence[float], cap: float) -> Da
     numbered = row_numbers(with_range_block(sources, *order), *order)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("position") % len(weights) + 1).cast("int"))
     table = materialize(numbered.select("key", "source_size", "n_docs", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most")), "sources")
-    total, weight_sum = table.agg(F.sum("source_size"), F.sum("weight")).first()
-    level = (total or 0) / weight_sum if weight_sum else 0.0
-    while True:
-        full = F.col("weight") * F.lit(level) > F.col("most")
-        held, rest = table.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
-        new = (total - held) / rest if rest else level
-        if new == level:
+    kinds = sorted({float(w) for w in weights})
+
+    def sums(full: Column) -> tuple[int, float, int]:
+        """Sizes of the full sources, weights of the others, and how many are full; from whole numbers, so in any order alike."""
+        rest = [F.count(F.when(~full & (F.col("weight") == w), 1)) for w in kinds]
+        held, n_full, *counts = table.agg(F.sum(F.when(full, F.col("source_size"))), F.count(F.when(full, 1)), *rest).first()
+        return held or 0, sum(w * n for w, n in zip(kinds, counts, strict=True)), n_full
+
+    total = table.agg(F.sum("source_size")).first()[0] or 0
+    _, rest, n_full = sums(F.lit(False))
+    level = total / rest if rest else 0.0
+    while True:  # full sources stay full, so there are at most as many rounds as sources
+        held, rest, now = sums(F.col("weight") * F.lit(level) > F.col("most"))
+        if now == n_full or not rest:
             break
-        level = new
+        level, n_full = (total - cap * held) / rest, now
     return table.withColumn("target", F.least(F.col("weight") * F.lit(level), F.col("most"))).select("key", "source_size", "n_docs", "target")
 
 
@@ -75,6 +82,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0,
     sized = materialize(sized.withColumn("key", source_key()), "sizes")
     targets = source_targets(sized, weights, cap)
 
+    splits *= 1 + sized.count() // 4_000_000
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
     part = F.pmod(ident + F.expr("coalesce(cast(doc_id as bigint), 0) div 64") + F.expr("coalesce(cast(doc_id as bigint), 0) div 4096"), F.lit(splits)).cast("int")
     dealt = sized.withColumns({"class": size_class(F.col("size")), "part": part})

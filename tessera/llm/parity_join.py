@@ -284,16 +284,21 @@ def named_apart(table: DataFrame, keep: Keep) -> DataFrame:
 def shared_keys(table: DataFrame, keep: Keep) -> DataFrame:
     """(key, sid, hub) of the keys that several sets must send; ``hub`` is the smallest of them. See the module's text.
 
-    Keys are shortened to as many bits as tell nearly all of them apart; where two become one, that adds a candidate.
+    Keys are shortened to as many bits as tell nearly all of them apart; where two become one, that adds a candidate,
+    and where both are one set's, the set may leave out one key less.
     """
     several = table.where("n > 0")
     total = several.agg(F.sum(F.size("keys"))).first()[0] or 0
     bits = min(63, int(total).bit_length() + 7)
-    short = F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).alias("key")
+    shorter = lambda keys: F.transform(keys, lambda k: k.bitwiseAND(F.lit((1 << bits) - 1)))
+    merged = lambda keys: F.size(keys) - F.size(F.array_distinct(keys))
+    several = several.select("sid", shorter("keys").alias("keys"), "own", "spare_own", "spare_below")
+    left_out = {"spare_own": F.col("spare_own") - merged(F.slice("keys", F.lit(1), F.col("own"))), "spare_below": F.col("spare_below") - merged(F.slice("keys", F.col("own") + 1, F.size("keys")))}
+    several = several.withColumns({n: F.greatest(c, F.lit(0)) for n, c in left_out.items()})
     # most keys are one document's: keys alone are counted first, and only rows of the others travel with names
-    repeated = keep(several.select(F.explode("keys").alias("key")).select(short).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "repeated")
+    repeated = keep(several.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "repeated")
     spare = F.when(F.col("at") >= F.col("own"), -1 - F.col("spare_below")).otherwise(F.col("spare_own")).alias("spare")  # under 0 in the band below
-    sent = several.select("sid", F.posexplode("keys").alias("at", "key"), "own", "spare_own", "spare_below").select(short, "sid", spare)
+    sent = several.select("sid", F.posexplode("keys").alias("at", "key"), "own", "spare_own", "spare_below").select("key", "sid", spare)
     again = sent.join(repeated, "key", "left_semi").distinct()
     again = keep(again.select("key", "sid", (F.col("spare") < 0).alias("below"), F.when(F.col("spare") < 0, -1 - F.col("spare")).otherwise(F.col("spare")).alias("spare")), "again")
     held = again.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")  # copies of one set are not several

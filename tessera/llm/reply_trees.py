@@ -1,10 +1,10 @@
 """Reply trees to training conversations. DataFrame functions only.
 
-Nodes of a tree name their parent. Root-to-leaf paths are enumerated by self-joins: in each round the
-pointers to the 2**k-th ancestor are joined with themselves, so a chain of n turns takes log2(n) rounds;
-then the leaves collect all their ancestors from the longest pointers down. Each leaf is a branch; branches
-of a tree are ranked by the sum of their nodes' scores (ties: the smaller leaf), and each chosen path is
-formatted as one conversation.
+Nodes of a tree name their parent. In each round the pointers to the 2**k-th ancestor are joined with themselves, so a
+chain of n turns takes log2(n) self-joins; each pointer also holds the sum of the scores it passes, so that every
+leaf's total is known before any path is written out. Each leaf is a branch; branches of a tree are ranked by their
+totals (ties: the smaller leaf), and only chosen leaves then collect their ancestors, from the longest pointers
+down. Each chosen path is formatted as one conversation.
 
 The template writes a turn as ``<turn>role<body>text</turn>``. In roles and texts ``\\`` is doubled and
 then ``<`` and ``[`` are followed by a ``\\``, so neither these marks nor other control strings such as
@@ -12,7 +12,8 @@ then ``<`` and ``[`` are followed by a ``\\``, so neither these marks nor other
 halving the others restores them.
 
 Rows whose parent is null or missing are roots; nodes in a cycle have no root and are left out. Null texts
-and roles are empty, a null tree id is a tree of its own, and repeated rows are turns like others.
+and roles are empty, a null score counts 0, a null tree id is a tree of its own, and repeated rows are turns like others.
+A conversation becomes one text and so one row, however long; nothing else gathers a tree in one task.
 Extra columns are not read; an empty table gives an empty table.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_numbers, with_range_block
 
 TURN, BODY, END = "<turn>", "<body>", "</turn>"
 
@@ -36,45 +37,70 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit("\\\\"), F.lit("\\"))
 
 
-def root_paths(nodes: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(tree, leaf, node, depth) for each leaf and each node on its path from the root, depth 0 at the root.
-
-    ``nodes`` has tree, node, parent (unique non-null tree and node, null parent at a root).
-    """
-    base = nodes.select("tree", "node", "parent")
+def _pointers(nodes: DataFrame, most_rounds: int = 40) -> list[DataFrame]:
+    """For k = 0, 1, ...: (tree, node, up, total) with the 2**k-th ancestor ``up`` (null above the root) and the sum of
+    the scores of the node and those passed below ``up``. The first has all nodes, the others those with an ancestor that far or
+    the root before it."""
+    base = nodes.select("tree", "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("total"))
     known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    first = base.join(known, ["tree", "parent"], "left").select("tree", "node", F.expr("if(known, parent, null)").alias("up"))
+    first = base.join(known, ["tree", "parent"], "left").select("tree", "node", F.expr("if(known, parent, null)").alias("up"), "total")
     pointers = [materialize(first, "pointers")]
     for _ in range(most_rounds):
         last = pointers[-1]
-        above = last.select("tree", F.col("node").alias("up"), F.col("up").alias("next"))
-        further = last.where("up is not null").join(above, ["tree", "up"]).where("next is not null").select("tree", "node", F.col("next").alias("up"))
-        further = materialize(further, "pointers")
+        above = last.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"))
+        further = materialize(last.where("up is not null").join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total")), "pointers")
         if further.isEmpty():
             break
         pointers.append(further)
+        if further.where("up is not null").isEmpty():
+            break
+    return pointers
+
+
+def _leaves(pointers: list[DataFrame]) -> DataFrame:
     parents = pointers[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    paths = pointers[0].join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("steps"))
+    return pointers[0].join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
+
+
+def _paths(pointers: list[DataFrame], leaves: DataFrame) -> DataFrame:
+    """(tree, leaf, node, depth) for each of the leaves and each node on its path from the root, depth 0 at the root."""
+    paths = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("steps"))
     for k in range(len(pointers) - 1, -1, -1):
-        up = pointers[k].where("up is not null")
+        up = pointers[k].where("up is not null").drop("total")
         paths = paths.unionByName(paths.join(up, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("steps") + F.lit(2**k)).alias("steps")))
         paths = materialize(paths, "paths")
     deepest = paths.groupBy("tree", "leaf").agg(F.max("steps").alias("deepest"))
     return paths.join(deepest, ["tree", "leaf"]).select("tree", "leaf", "node", (F.col("deepest") - F.col("steps")).alias("depth"))
 
 
+def root_paths(nodes: DataFrame) -> DataFrame:
+    """(tree, leaf, node, depth) of every leaf. ``nodes`` has tree, node, parent (unique non-null tree and node, null parent at a root)."""
+    pointers = _pointers(nodes if "score" in nodes.columns else nodes.withColumn("score", F.lit(0.0)))
+    return _paths(pointers, _leaves(pointers))
+
+
+def branch_totals(pointers: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, total): the sum of the scores from each leaf to its root. A leaf's last pointer ends above the root."""
+    ends = pointers[0].where("up is null")
+    for p in pointers[1:]:
+        ends = ends.unionByName(p.where("up is null"))
+    return ends.withColumnRenamed("node", "leaf").join(_leaves(pointers), ["tree", "leaf"], "left_semi").select("tree", "leaf", "total")
+
+
 def chosen_paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     """Turns (tree, leaf, branch, depth, role, text) of the ``branches`` best paths of each tree (None: all).
 
     ``nodes`` has tree, node, parent, score, role, text. ``branch`` counts from 1 at the highest score.
     """
-    turns = root_paths(nodes).join(nodes.drop("parent"), ["tree", "node"])
-    totals = turns.groupBy("tree", "leaf").agg(F.sum("score").alias("total"))
+    pointers = _pointers(nodes)
+    totals = branch_totals(pointers)
     if branches == 1:  # an aggregate, so that a tree of very many branches needs no single task
         ranked = totals.groupBy("tree").agg(F.max(F.struct("total", (-F.col("leaf")).alias("leaf"))).alias("b")).select("tree", (-F.col("b.leaf")).alias("leaf"), F.lit(1).alias("branch"))
     else:
         ranked = totals.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.col("total").desc(), "leaf"))).drop("total")
         ranked = ranked if branches is None else ranked.where(F.col("branch") <= branches)
+    ranked = materialize(ranked, "branches")
+    turns = _paths(pointers, ranked).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
     return turns.join(ranked, ["tree", "leaf"]).select("tree", "leaf", "branch", "depth", "role", "text")
 
 
@@ -110,12 +136,17 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def linear_nodes(rows: DataFrame) -> DataFrame:
-    """Nodes of (conv_id, turn, role, text) rows: each replies to the one before it; ties by role and text."""
-    order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    """Nodes of (conv_id, turn, role, text) rows: each replies to the one before it; ties by role and text.
+
+    Rows are numbered over the whole table, which is range-partitioned, so that a conversation with a large share of
+    all rows is dealt over many tasks.
+    """
     keyed = rows.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree"), "turn", "role", "text")
-    numbered = keyed.withColumn("node", F.row_number().over(order).cast("long"))
-    parent = F.when(F.col("node") > 1, F.col("node") - 1)
-    return numbered.select("tree", "node", parent.alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+    order = (F.col("tree").asc(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    numbered = materialize(row_numbers(with_range_block(keyed, *order), *order), "numbered")
+    first = numbered.groupBy("tree").agg(F.min("position").alias("first"))
+    parent = F.when(F.col("position") > F.col("first"), F.col("position") - 1)
+    return numbered.join(first, "tree").select("tree", F.col("position").alias("node"), parent.alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
 def conversation_digests(rows: DataFrame) -> DataFrame:

@@ -1,29 +1,31 @@
 """Token counts by overlap resynchronisation.
 
-A document is encoded with a library tokenizer (a ``tokenizers`` JSON file). Documents longer than
-``chunk_chars`` are cut into chunks that overlap; every chunk is encoded with offsets, and two
-neighbours are spliced at a boundary inside their overlap that both encodings have and that is proven
-stable: the start of a run of non-space characters. The vocabularies meant here drop or separate white
-space before any merge is made, their normalizers work on one character or on a base with its marks
-(and white space is neither), and no special token holds white space; so an encoding never depends on
-what stands across such a boundary. Where an overlap holds none (a very long run), it is widened, at
-last to the document's end, which is then one chunk.
-
-Runs are encoded once while they stay in a bounded per-worker cache, since prose repeats them.
+A document is encoded with a library tokenizer (a ``tokenizers`` JSON file). Documents longer than ``chunk_chars`` are
+cut into chunks that overlap; every chunk is encoded with the library's offsets, and two neighbours are spliced at a
+token boundary inside their overlap that both encodings have and that is proven stable, in two ways. First, it is the
+start of a run of non-space characters after a space: the vocabularies meant here drop or separate white space
+before any merge is made, their normalizers work on one character or on a base with its marks (and white space is
+neither), and no special token holds white space, so an encoding never depends on what stands across such a
+boundary. Second, both encodings give the same tokens at the same offsets from there to the last such boundary in the
+overlap. Where there is no such boundary, or the two disagree, the overlap is widened, at last to the document's
+start and end, and then the two chunks become one.
+
+A document of one chunk has no overlap; its pieces (by such boundaries, and for plain Latin text by the vocabulary's
+own pattern) are encoded by the library once while they stay in a bounded cache, since prose repeats them.
 
 Null and empty texts have 0 tokens. Repeated rows are given as often as they come. Extra columns are
-not read. An empty table gives an empty table.
+not read. An empty table gives an empty table. Very long texts are never encoded at once, unless nothing splits them.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import json
 import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,119 +53,100 @@ def is_latin(text: str) -> bool:
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 
-class RunEncoder:
-    """Token ids of white-space-free runs, by the library, with a cache of bounded size."""
+class Encoder:
+    """The library tokenizer, without truncation, padding and special tokens of its own."""
 
-    def __init__(self, path: str, cache_runs: int = 1_000_000, cached_length: int = 64):
+    def __init__(self, path: str, cache_pieces: int = 1_000_000, cached_length: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, tuple[int, ...]] = {}
         self.counts: dict[str, int] = {}
-        self.cache_runs, self.cached_length = cache_runs, cached_length
-        # the shortcut for plain Latin text holds for this one form of file
+        self.cache_pieces, self.cached_length = cache_pieces, cached_length
+        # the finer cut of plain Latin text holds for this one form of file
         form = json.loads(self.tokenizer.to_str())
         split = [p.get("pattern", {}).get("Regex") for p in (form["pre_tokenizer"] or {}).get("pretokenizers", [])]
         steps = [n["type"] for n in (form["normalizer"] or {}).get("normalizers", [])]
         self.latin = split[:1] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"] and steps == ["NFC", "Replace", "Lowercase"]
         self.latin = self.latin and all("<|" in t["content"] and not t["normalized"] for t in form["added_tokens"])
 
-    def count(self, text: str) -> int:
-        """Number of tokens of a text that is short enough to be taken whole."""
-        if not (self.latin and "<|" not in text and is_latin(text)):
-            return sum(map(len, encode_chunk(self, text, 0, len(text))[1]))
-        pieces, counts = LATIN_PIECE.findall(text.lower()), self.counts
+    def whole(self, text: str) -> int:
+        """Number of tokens of a text that is one chunk: the sum over its pieces, each counted once while it stays in a bounded cache."""
+        plain = self.latin and "<|" not in text and is_latin(text)
+        pieces, counts = LATIN_PIECE.findall(text.lower()) if plain else RUN.findall(text), self.counts
         try:
             return sum(map(counts.__getitem__, pieces))
         except KeyError:
             missing = list({p for p in pieces if p not in counts})
-        if len(counts) + len(missing) > self.cache_runs:
+        if len(counts) + len(missing) > self.cache_pieces:
             counts.clear()
             missing = list(set(pieces))
-        found = {p: len(e.ids) for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
+        found = {p: len(e) for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
         counts.update((p, n) for p, n in found.items() if len(p) <= self.cached_length)
         return sum(found[p] if p in found else counts[p] for p in pieces)
 
-    def ids(self, runs: list[str]) -> list[tuple[int, ...]]:
-        cache = self.cache
-        missing = list({r for r in runs if r not in cache})
-        if not missing:
-            return [cache[r] for r in runs]
-        if len(cache) + len(missing) > self.cache_runs:
-            cache.clear()
-            missing = list(set(runs))
-        found: dict[str, tuple[int, ...]] = {}
-        for at in range(0, len(missing), 2048):
-            part = missing[at : at + 2048]
-            for run, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                found[run] = tuple(encoding.ids)
-        cache.update((r, i) for r, i in found.items() if len(r) <= self.cached_length)
-        return [found[r] if r in found else cache[r] for r in runs]
+    def chunk(self, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of text[start:end], and where in the whole text each begins."""
+        found = self.tokenizer.encode(text[start:end], add_special_tokens=False)
+        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+        return np.array(found.ids, np.int64), at + start
 
 
 @functools.lru_cache(maxsize=2)
-def encoder_for(path: str) -> RunEncoder:
-    """The Python worker's encoder, which keeps its cache from task to task."""
-    return RunEncoder(path)
+def encoder_for(path: str) -> Encoder:
+    """The Python worker's encoder."""
+    return Encoder(path)
 
 
-def encode_chunk(encoder: RunEncoder, text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, ...]]]:
-    """Offsets (in the whole text) of the chunk's runs, and the token ids of each."""
-    spans = [(m.start(), m.group()) for m in RUN.finditer(text, start, end)]
-    return [s for s, _ in spans], encoder.ids([r for _, r in spans])
+BOUNDARY = re.compile(f"(?<=[{WHITE}])[^{WHITE}]")
 
 
-def splice_point(text: str, left: tuple[list[int], list], right: tuple[list[int], list], low: int, high: int) -> int | None:
-    """The last offset in [low, high) at which both encodings start a run of the text and agree on its tokens.
+def splice(text: str, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], low: int, high: int) -> tuple[int, int] | None:
+    """(tokens of ``left`` to keep, tokens of ``right`` to leave out) at the first stable boundary in [low, high), or None.
 
-    ``high`` is the left chunk's end; a run touching it may have been cut there, so it doesn't count.
-    A right chunk may begin inside a run; its first run counts only if the text has a space before it.
+    ``high`` is the left chunk's end, where a run may have been cut; so the last boundary before it ends what is compared.
     """
-    (a, ids_a), (b, ids_b) = left, right
-    for i in range(bisect.bisect_left(a, high) - 1, -1, -1):
-        at = a[i]
-        if at < low:
-            return None
-        j = bisect.bisect_left(b, at)
-        whole = at == 0 or not RUN.match(text[at - 1])
-        if j < len(b) and b[j] == at and whole and (ids_a[i] == ids_b[j]):
-            return at
-    return None
-
-
-def encode_document(encoder: RunEncoder, text: str, chunk_chars: int, overlap_chars: int) -> Iterator[tuple[int, ...]]:
-    """Token ids of the text, run by run; a long text is never encoded at once unless nothing splits it."""
+    stable = [m.start() for m in BOUNDARY.finditer(text, max(0, low - 1), high)]
+    if stable and stable[0] < low:
+        stable.pop(0)
+    if len(stable) < 2:
+        return None
+    (ids, at), (more, more_at) = left, right
+    both = np.intersect1d(np.intersect1d(stable[:-1], at), more_at)  # where a token begins in both
+    if not len(both):
+        return None
+    first, last = both[0], stable[-1]
+    a, b, c, d = np.searchsorted(at, first), np.searchsorted(at, last), np.searchsorted(more_at, first), np.searchsorted(more_at, last)
+    agree = b - a == d - c and (at[a:b] == more_at[c:d]).all() and (ids[a:b] == more[c:d]).all()
+    return (int(a), int(c)) if agree else None
+
+
+def encode_document(encoder: Encoder, text: str, chunk_chars: int, overlap_chars: int) -> Iterator[np.ndarray]:
+    """Token ids of the text, part by part."""
     size = len(text)
-    if size <= chunk_chars:
-        yield from encode_chunk(encoder, text, 0, size)[1]
-        return
-    start, end = 0, chunk_chars
-    left = encode_chunk(encoder, text, start, end)
+    start, end = 0, min(chunk_chars, size)
+    left = encoder.chunk(text, start, end)
     while end < size:
         overlap = overlap_chars
         while True:
             begin = max(start, end - overlap)
             right_end = min(size, begin + chunk_chars + overlap)
-            right = encode_chunk(encoder, text, begin, right_end)
-            at = splice_point(text, left, right, begin, end)
-            if at is not None:
-                keep = bisect.bisect_left(left[0], at)
-                yield from left[1][:keep]
-                skip = bisect.bisect_left(right[0], at)
-                left, start, end = (right[0][skip:], right[1][skip:]), at, right_end
+            right = encoder.chunk(text, begin, right_end)
+            if (at := splice(text, left, right, begin, end)) is not None:
+                yield left[0][: at[0]]
+                left, start, end = (right[0][at[1] :], right[1][at[1] :]), int(right[1][at[1]]), right_end
                 break
             if begin == start:  # nothing splits the left chunk: it grows to the right
                 end = min(size, end + max(chunk_chars, end - start))
-                left = encode_chunk(encoder, text, start, end)
+                left = encoder.chunk(text, start, end)
                 break
             overlap *= 4
-    yield from left[1]
+    yield left[0]
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, chunk_chars: int = 65_536, overlap_chars: int = 1_024) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, chunk_chars: int = 16_384, overlap_chars: int = 256) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for each row of ``docs`` (doc_id, text). No shuffle.
 
     ``tokenizer_path`` must exist on every executor, as the library's package data does.
@@ -174,7 +157,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, chunk_chars: int = 65_536
         encoder = encoder_for(tokenizer_path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts = [encoder.count(t) if len(t) <= chunk_chars else sum(map(len, encode_document(encoder, t, chunk_chars, overlap_chars))) for t in texts]
+            counts = [encoder.whole(t) if len(t) <= chunk_chars else sum(map(len, encode_document(encoder, t, chunk_chars, overlap_chars))) for t in texts]
             sizes = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

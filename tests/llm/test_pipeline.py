@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tessera.llm.mixing import mix
-from tessera.llm.pii_surrogates import rewrite
+from tessera.llm.pii_surrogates import attempts_for, rewrite
 from tessera.llm.quality_pairs import features, train
 from tessera.sources import read_table
 
@@ -23,7 +23,11 @@ def test_run_equals_brute_force(spark):
     rows = [r for r in docs.collect() if model.score(np.array([features(r.text or "")]))[0] >= 0.3]
     component = {i: c if n else i for i, n, c in brute([(r.doc_id, r.text) for r in rows], 5, 80, 100)}
     rows = [r for r in rows if component[r.doc_id] == r.doc_id]
-    texts = {r.doc_id: rewrite(r.text, b"tessera", {})[0] for r in rows}
+    spark.conf.set("spark.tessera.pii.key", "a key")
+    kept = spark.createDataFrame([(r.text,) for r in rows], "text string")
+    found = attempts_for(kept, b"a key")
+    moved = {(r.kind, r.canonical): (r.as_kind, r.attempt) for r in found.collect()} if found is not None else {}
+    texts = {r.doc_id: rewrite(r.text, b"a key", moved)[0] for r in rows}
     kept = spark.createDataFrame([(r.doc_id, texts[r.doc_id], r.source) for r in rows], "doc_id long, text string, source string")
     library, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Counter()
     for r in mix(kept).collect():
@@ -39,3 +43,24 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, DATA)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_edges(spark, tmp_path):
+    """Empty tables, nulls in every column, empty and long texts, repeated rows, and columns named like the stages' own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kinds string, score double, size long, copies long, n_entities long"
+    extra = ("k", 0.5, 7, 8, 9)
+    rows = [(1, "Mrs. Alice Smith mailed a@b.org " * 3, "en", "web", 96), (2, None, None, None, None), (None, "some text here that is fine", None, "web", 27), (3, "", "en", "books", 0), (1, "Mrs. Alice Smith mailed a@b.org " * 3, "en", "web", 96), (4, "word " * 60_000, "en", "web", 300_000)]
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for n, some in enumerate((rows, [])):
+        folder = str(tmp_path / str(n))
+        spark.createDataFrame([(*r, *extra) for r in some], schema).write.parquet(f"{folder}/documents.parquet")
+        labels.where("doc_id is not null" if some else "false").write.parquet(f"{folder}/labels.parquet")
+        docs = read_table(spark, folder, "documents")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            assert docs.columns == [c.split(" ")[0] for c in schema.split(", ")], name
+        texts = [r.text or "" for r in docs.collect()]
+        assert not any("Alice" in t or "a@b.org" in t for t in texts)
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert (len(out) > 0) == bool(some) and all(r.n_tokens is not None for r in out)
+        assert {r.kinds for r in docs.collect()} <= {"k"}
