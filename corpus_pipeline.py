@@ -1,4 +1,11 @@
-"""Raw documents to encoded training documents, in five stages; each works on what its predecessor kept."""
+"""Raw documents to encoded training documents, in five stages; each works on what its predecessor kept.
+
+All stages but the last return the columns of their input, extra ones and such with the stages' own names among them.
+Null texts count as empty (quality scores them as such, near duplicates keeps them all, personal data keeps null,
+mixing gives them size 0, encoding no ids); null ids, sources and languages are values like others. Repeated rows are
+one document to near duplicates. Very long texts are single rows throughout. Without labels of both kinds nothing is
+rejected. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +16,7 @@ from tessera.llm.bpe_reuse import encode_decode
 from tessera.llm.common import materialize
 from tessera.llm.mixing import emit
 from tessera.llm.parity_join import one_of_each
-from tessera.llm.pii_surrogates import replace_pii
+from tessera.llm.pii_surrogates import configured_key, replace_pii
 from tessera.llm.quality_pairs import accepted
 from tessera.sources import read_table
 
@@ -26,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and secrets by surrogates; n_chars follows."""
-    return replace_pii(docs, report=False).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return replace_pii(docs, configured_key(spark), report=False).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
