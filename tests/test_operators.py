@@ -219,10 +219,125 @@ def test_language_model(spark):
     assert lm.generate(small, w, [1, 2, 3], 8, seed=5) == lm.generate_cached(small, w, [1, 2, 3], 8, seed=5)
     assert len(lm.generate_cached(small, w, [1], 0)) == 2
     assert lm.token_losses(small, w, np.array([1])).size == 0
+    assert np.allclose(lm.erf(np.linspace(-7, 7, 999)), [math.erf(x) for x in np.linspace(-7, 7, 999)], atol=1e-14)
+    ids = np.arange(23) % 20
+    one_by_one = [-math.log(lm.softmax(lm.logits(small, w, ids[i // 5 * 5 : i + 1]))[-1][ids[i + 1]]) for i in range(22)]
+    assert np.allclose(lm.token_losses(small, w, ids, 5), one_by_one)
     rows = spark.createDataFrame([(0, [1, 2, 3, 4, 5])], "stream int, ids array<int>")
     assert lm.score_rows(rows, small, w).count() == 4 and len(lm.generate_rows(rows, small, w, 3).first()["ids"]) == 8
 
 
+def naive_forward(c, w, ids):
+    """Logits by plain loops over positions, heads and dimensions."""
+    ln = lambda v, a, b: [(x - sum(v) / len(v)) / math.sqrt(sum((y - sum(v) / len(v)) ** 2 for y in v) / len(v) + 1e-5) * p + q for x, p, q in zip(v, a, b)]
+    mul = lambda m, v: [sum(a * b for a, b in zip(r, v)) for r in m]
+    add = lambda a, b: [x + y for x, y in zip(a, b)]
+    size = c.d_model // c.n_heads
+    xs = [add(w["tok"][t], w["pos"][i]) for i, t in enumerate(ids)]
+    for layer in range(c.n_layers):
+        hs = [ln(x, w[f"{layer}.ln1.w"], w[f"{layer}.ln1.b"]) for x in xs]
+        q, k, v = ([mul(w[f"{layer}.{n}"], h) for h in hs] for n in "qkv")
+        for i in range(len(xs)):
+            out = []
+            for h in range(c.n_heads):
+                s = slice(h * size, (h + 1) * size)
+                e = [math.exp(sum(a * b for a, b in zip(q[i][s], k[j][s])) / math.sqrt(size)) for j in range(i + 1)]
+                out += [sum(e[j] / sum(e) * v[j][s][d] for j in range(i + 1)) for d in range(size)]
+            xs[i] = add(xs[i], mul(w[f"{layer}.o"], out))
+        for i in range(len(xs)):
+            u = add(mul(w[f"{layer}.up"], ln(xs[i], w[f"{layer}.ln2.w"], w[f"{layer}.ln2.b"])), w[f"{layer}.up.b"])
+            g = [0.5 * y * (1 + math.erf(y / math.sqrt(2))) for y in u]
+            xs[i] = add(xs[i], add(mul(w[f"{layer}.down"], g), w[f"{layer}.down.b"]))
+    return np.array([mul(w["head"], ln(x, w["ln.w"], w["ln.b"])) for x in xs])
+
+
+def test_the_forward_pass_equals_plain_loops():
+    c = lm.Config(11, 8, 2, 2, 12, 9)
+    rng = np.random.default_rng(8)
+    w = {n: rng.normal(0, 0.5, s) for n, s in lm.shapes(c).items()}
+    ids = [3, 1, 4, 1, 5, 9, 2]
+    assert np.allclose(lm.logits(c, w, np.array(ids)), naive_forward(c, w, ids))
+    assert np.allclose(lm.logits(c, w, np.array([ids, ids[::-1]]))[1], naive_forward(c, w, ids[::-1]))
+    greedy = list(ids[:3])
+    for _ in range(4):
+        greedy.append(int(naive_forward(c, w, greedy)[-1].argmax()))
+    assert lm.generate(c, w, ids[:3], 4, top_k=1) == lm.generate_cached(c, w, ids[:3], 4, top_k=1) == greedy
+
+
+def test_real_weights_are_quantised(spark):
+    c = lm.Config(11, 8, 2, 1, 12, 9)
+    w = lm.initial(c, 2)
+    q = quant.quantize_weights(lm.weight_rows(spark, w), lm.LINEAR)
+    assert {r.name for r in q.where("q is not null").collect()} == {"0.q", "0.k", "0.v", "0.o", "0.up", "0.down", "head"}
+    back = lm.from_rows(quant.dequantize_model(q), c)
+    for n, x in w.items():
+        want = x
+        if n.rsplit(".", 1)[-1] in lm.LINEAR:
+            scale = np.maximum(np.abs(x).max(1, keepdims=True), 1e-8) / 127
+            want = np.clip(np.round(x / scale), -128, 127) * scale
+        assert np.allclose(back[n], want), n
+
+
+def naive_train(texts, vocab_size=2000, least=2):
+    """Everything counted anew for each merge: a word counts by its characters, so a merged word counts no more."""
+    counts = {}
+    for t in texts:
+        for word in t.split():
+            counts[("▁", *word)] = counts.get(("▁", *word), 0) + 1
+    words, merges = [list(w) for w in counts], []
+    vocab = {s for w in words for s in w}
+    while True:
+        pairs = {}
+        for w in words:
+            for p in zip(w, w[1:]):
+                pairs[p] = pairs.get(p, 0) + counts.get(tuple(w), 0)
+        best = max(pairs, key=pairs.get, default=None)  # the first of equals
+        if best is None or pairs[best] < least or len(vocab) + 1 >= vocab_size:
+            return merges, vocab
+        merges.append(best)
+        vocab.add("".join(best))
+        for w in words:
+            at = 0
+            while at < len(w) - 1:
+                if (w[at], w[at + 1]) == best:
+                    w[at : at + 2] = ["".join(best)]
+                at += 1
+
+
+def test_bpe_equals_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").orderBy("doc_id").limit(40).select("doc_id", F.substring("text", 1, 400).alias("text"))
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    v = bpe.train(docs, 300)
+    merges, vocab = naive_train(texts, 300)
+    assert v.merges == tuple(merges) and len(merges) > 20
+    ids = {t: i for i, t in enumerate(["<pad>", "<unk>", "<bos>", "<eos>", *sorted(vocab, key=lambda s: (len(s), s))])}
+    assert v.ids == ids
+
+    def encode(word):
+        s = ["▁", *word]
+        for a, b in merges:
+            at = 0
+            while at < len(s) - 1:
+                if (s[at], s[at + 1]) == (a, b):
+                    s[at : at + 2] = [a + b]
+                at += 1
+        return [ids[x] for x in s]
+
+    want = {r.doc_id: [i for w in r.text.split() for i in encode(w)] for r in docs.collect()}
+    assert {r.doc_id: r.ids for r in bpe.encode(docs, v).collect()} == want
+    names = {i: t for t, i in ids.items()}
+    chunks = {(r.doc_id, r.chunk_id): r.text for r in chunking.token_chunks(bpe.encode(docs, v), bpe.decode(v), 16, 4).collect()}
+    expected = {}
+    for doc, x in want.items():
+        at = n = 0
+        while at < len(x):
+            expected[doc, n] = " ".join("".join(names[i] for i in x[at : at + 16]).replace("▁", " ").split())
+            if at + 16 >= len(x):
+                break
+            at, n = at + 12, n + 1
+    assert chunks == expected
+
+
 def test_frames_and_stream(spark, tmp_path):
     texts = spark.createDataFrame([("s", "h\né"), ("e", None)], "stream_id string, text string")
     got = [r.frame for r in sse.frames(texts).where("stream_id = 's'").orderBy("seq").collect()]
@@ -231,6 +346,9 @@ def test_frames_and_stream(spark, tmp_path):
     query = sse.stream_frames(spark.readStream.schema(texts.schema).parquet(str(tmp_path / "in")), "frames_out", str(tmp_path / "ck"))
     query.awaitTermination(60)
     assert spark.table("frames_out").count() == 5
+    again = sse.stream_frames(spark.readStream.schema(texts.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck2"), "parquet")
+    again.awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
 def test_persistence(spark, tmp_path):
