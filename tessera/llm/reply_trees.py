@@ -37,29 +37,27 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit("\\\\"), F.lit("\\"))
 
 
-def _pointers(nodes: DataFrame, most_rounds: int = 40) -> list[DataFrame]:
-    """For k = 0, 1, ...: (tree, node, up, total) with the 2**k-th ancestor ``up`` (null above the root) and the sum of
-    the scores of the node and those passed below ``up``. The first has all nodes, the others those with an ancestor that far or
-    the root before it."""
+def _pointers(nodes: DataFrame) -> list[DataFrame]:
+    """For k = 0, 1, ...: (tree, node, up, total) with the 2**k-th ancestor ``up`` (null beyond the root) and the sum of the
+    scores of the node and of those between, without ``up``'s. In the last all are beyond the root, but for nodes
+    that a cycle keeps from it.
+    """
     base = nodes.select("tree", "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("total"))
     known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     first = base.join(known, ["tree", "parent"], "left").select("tree", "node", F.expr("if(known, parent, null)").alias("up"), "total")
-    pointers = [materialize(first, "pointers")]
-    for _ in range(most_rounds):
-        last = pointers[-1]
+    pointers, before = [materialize(first, "pointers")], None
+    while (left := pointers[-1].where("up is not null").count()) and left != before:  # of nodes with a root some get there in each round
+        last, before = pointers[-1], left
         above = last.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"))
-        further = materialize(last.where("up is not null").join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total")), "pointers")
-        if further.isEmpty():
-            break
-        pointers.append(further)
-        if further.where("up is not null").isEmpty():
-            break
+        further = last.where("up is not null").join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"))
+        pointers.append(materialize(last.where("up is null").select("tree", "node", "up", "total").unionByName(further), "pointers"))
     return pointers
 
 
 def _leaves(pointers: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, total) of the nodes that are nobody's parent and have a root: the sum of the scores from there to the root."""
     parents = pointers[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    return pointers[0].join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
+    return pointers[-1].where("up is null").join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "total")
 
 
 def _paths(pointers: list[DataFrame], leaves: DataFrame) -> DataFrame:
@@ -79,21 +77,13 @@ def root_paths(nodes: DataFrame) -> DataFrame:
     return _paths(pointers, _leaves(pointers))
 
 
-def branch_totals(pointers: list[DataFrame]) -> DataFrame:
-    """(tree, leaf, total): the sum of the scores from each leaf to its root. A leaf's last pointer ends above the root."""
-    ends = pointers[0].where("up is null")
-    for p in pointers[1:]:
-        ends = ends.unionByName(p.where("up is null"))
-    return ends.withColumnRenamed("node", "leaf").join(_leaves(pointers), ["tree", "leaf"], "left_semi").select("tree", "leaf", "total")
-
-
 def chosen_paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     """Turns (tree, leaf, branch, depth, role, text) of the ``branches`` best paths of each tree (None: all).
 
     ``nodes`` has tree, node, parent, score, role, text. ``branch`` counts from 1 at the highest score.
     """
     pointers = _pointers(nodes)
-    totals = branch_totals(pointers)
+    totals = _leaves(pointers)
     if branches == 1:  # an aggregate, so that a tree of very many branches needs no single task
         ranked = totals.groupBy("tree").agg(F.max(F.struct("total", (-F.col("leaf")).alias("leaf"))).alias("b")).select("tree", (-F.col("b.leaf")).alias("leaf"), F.lit(1).alias("branch"))
     else:
