@@ -12,7 +12,7 @@ import contextlib
 import itertools
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,20 +59,45 @@ def application_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Writes ``df`` as Parquet into the application's folder, or the one given, and returns it read back."""
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet into the application's folder and returns it read back."""
     spark = df.sparkSession
-    path = f"{folder or application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done with, which else stay until the driver happens to collect its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
+class Scratch:
+    """A ``materialize`` into a folder of its own."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.number = spark, f"{application_dir(spark)}/scratch-{uuid.uuid4().hex}", itertools.count()
+        self.paths: dict[int, str] = {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{next(self.number)}-{name}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = path
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing will read again, and shuffle files of what made them."""
+        for df in tables:
+            delete(self.spark, self.paths.pop(id(df)))
+        release(self.spark)
+
+
 @contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """A ``materialize`` whose tables go when the block ends; what leaves the block must be written elsewhere first."""
-    folder = f"{application_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    number = itertools.count()
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Tables that go when the block ends; what leaves the block must be written elsewhere first."""
+    kept = Scratch(spark)
     try:
-        yield lambda df, name: materialize(df, f"{next(number)}-{name}", folder)
+        yield kept
     finally:
-        delete(spark, folder)
+        delete(spark, kept.folder)
