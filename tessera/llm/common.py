@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.scratch import delete, materialize, scratch, shared_dir
+from tessera.sources.scratch import Scratch, delete, materialize, release, scratch, shared_dir
 
-__all__ = ["SPACE", "WORD", "bounded_batches", "delete", "hashed_sample", "lower_ascii", "materialize", "row_numbers", "scratch", "shared_dir", "with_range_block", "word_count"]
+__all__ = ["SPACE", "WORD", "bounded_batches", "delete", "hashed_sample", "lower_ascii", "materialize", "release", "row_numbers", "Scratch", "scratch", "shared_dir", "with_range_block", "word_count"]
 
 #: White space of the corpus contract, as a Java character class and its complement.
 SPACE = r"\x20\x09-\x0D"

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_batches, materialize, scratch
+from .common import WORD, Scratch, bounded_batches, materialize, release, scratch
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 SKETCH_BITS, SKETCH_FACTOR = 1024, 8
@@ -281,7 +281,7 @@ def named_apart(table: DataFrame, keep: Keep) -> DataFrame:
     return table
 
 
-def shared_keys(table: DataFrame, keep: Keep) -> DataFrame:
+def shared_keys(table: DataFrame, keep: Scratch) -> DataFrame:
     """(key, sid, hub) of the keys that several sets must send; ``hub`` is the smallest of them. See the module's text.
 
     Keys are shortened to as many bits as tell nearly all of them apart; where two become one, that adds a candidate,
@@ -297,16 +297,20 @@ def shared_keys(table: DataFrame, keep: Keep) -> DataFrame:
     several = several.withColumns({n: F.greatest(c, F.lit(0)) for n, c in left_out.items()})
     # most keys are one document's: keys alone are counted first, and only rows of the others travel with names
     repeated = keep(several.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "repeated")
+    release(table.sparkSession)
     spare = F.when(F.col("at") >= F.col("own"), -1 - F.col("spare_below")).otherwise(F.col("spare_own")).alias("spare")  # under 0 in the band below
     sent = several.select("sid", F.posexplode("keys").alias("at", "key"), "own", "spare_own", "spare_below").select("key", "sid", spare)
     again = sent.join(repeated, "key", "left_semi").distinct()
     again = keep(again.select("key", "sid", (F.col("spare") < 0).alias("below"), F.when(F.col("spare") < 0, -1 - F.col("spare")).otherwise(F.col("spare")).alias("spare")), "again")
+    keep.drop(repeated)
     held = again.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")  # copies of one set are not several
     rarest = Window.partitionBy("sid", "below")
     ranked = again.join(held, "key").withColumns({"nth": F.row_number().over(rarest.orderBy("sets", "key")), "all": F.count("*").over(rarest)})
     needed = keep(ranked.where("nth <= all - spare").select("key", "sid"), "needed")
     hubs = needed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").select("key", "hub")
-    return keep(needed.join(hubs, "key"), "shared")
+    shared = keep(needed.join(hubs, "key"), "shared")
+    keep.drop(again, needed)
+    return shared
 
 
 def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -317,13 +321,17 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
     spark = docs.sparkSession
     bounded_batches(spark)
     with scratch(spark) as keep:
-        table = named_apart(keep(described(docs, words, num, den), "described"), keep)
+        whole = keep(described(docs, words, num, den), "described")
+        table = named_apart(whole, keep)
         shown = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "low", "high")).alias("shown")  # the row that shows the set
         nodes = table.where("n > 0").groupBy("sid").agg(shown, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         nodes = keep(nodes.select("sid", "n", "sketch", F.col("shown.doc_id").alias("rep"), F.col("shown.hash").alias("hash"), "shown.low", "shown.high"), "nodes")
         shared = shared_keys(table, keep)
+        table = keep(table.select("doc_id", "hash", "n", "sid"), "rows")
+        keep.drop(whole)
         wanted = nodes.join(shared.select("sid").distinct(), "sid").select(F.col("rep").alias("doc_id"), "hash", "sid", "low", "high")
         sets = keep(shingle_sets(docs, keep(wanted, "wanted"), words), "sets")
+        release(spark)
         pairs = shared.where("sid != hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
         tested = [keep(counted(keep(plausible(pairs, nodes, num, den), "plausible"), sets, num, den), "tested")]
         put_out: list[DataFrame] = []
