@@ -334,14 +334,14 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
         release(spark)
         pairs = shared.where("sid != hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
         tested = [keep(counted(keep(plausible(pairs, nodes, num, den), "plausible"), sets, num, den), "tested")]
-        put_out: list[DataFrame] = []
+        earlier: list[tuple[DataFrame, DataFrame]] = []
         for turn in itertools.count():
             known = functools.reduce(DataFrame.unionByName, tested)
             roots = components(known.where("linked"), keep)
-            found = keep(open_pairs(shared, roots, nodes, put_out, num, den, turn, keep), "found")
+            found = keep(open_pairs(shared, roots, nodes, earlier, num, den, turn, keep), "found")
             if found.isEmpty():
                 break
-            put_out.append(found)
+            earlier.append((roots, keep(found.select("key").distinct(), "open_keys")))
             pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
             tested.append(keep(counted(pairs, sets, num, den), "tested"))
         named = nodes.select("sid", "rep").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -352,19 +352,26 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
         return materialize(rows.select("doc_id", "hash", F.col("n").alias("n_shingles"), "sid", "root", component.alias("component_id")), "members")
 
 
-def open_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, put_out: list[DataFrame], num: int, den: int, turn: int, keep: Keep) -> DataFrame:
+def open_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, earlier: list[tuple[DataFrame, DataFrame]], num: int, den: int, turn: int, keep: Keep) -> DataFrame:
     """(key, a, b): pairs of different components that share a key and may link, without those that the key put out before.
 
     The members of a key's largest component are passive: they meet active ones only. Active members are dealt to
     the first blocks, passive ones to the rest, and each active block meets every block in one unit, as large as two
     blocks; units are dealt to buckets of about BUCKET_BYTES, so neither a large key nor many small ones fill a task.
+
+    ``earlier`` holds (roots, keys that put out pairs) of the turns before. Members carry their roots of every turn and
+    are dealt as in the first, so a unit finds again, in memory, what it put out before; no pairs travel for that.
     """
-    placed = keep(shared.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "placed")
-    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("members"))
+    placed = shared
+    for i, found in enumerate([*(r for r, _ in earlier), roots]):
+        placed = placed.join(found.select("sid", F.col("root").alias(f"root{i}")), "sid", "left").withColumn(f"root{i}", F.coalesce(f"root{i}", "sid"))
+    if earlier:  # a key that put out no pair has none left
+        placed = placed.join(earlier[-1][1], "key", "left_semi")
+    history = [f"root{i}" for i in range(len(earlier) + 1)]
+    placed = keep(placed.select("key", "sid", "hub", F.col(history[0]).alias("root"), F.col(history[-1]).alias("now"), F.array(*history).alias("roots")), "placed")
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("members"), F.min("now").alias("least"), F.max("now").alias("last"))
     total, most = F.sum("members").alias("total"), F.max(F.struct("members", "root")).alias("most")
-    open_keys = sizes.groupBy("key").agg(total, most, F.count("*").alias("parts")).where("parts > 1 and total > 2")  # of two, one is the hub of the other
-    if put_out:  # a key that put out no pair has none left
-        open_keys = open_keys.join(put_out[-1].select("key").distinct(), "key", "left_semi")
+    open_keys = sizes.groupBy("key").agg(total, most, F.min("least").alias("least"), F.max("last").alias("last")).where("least < last and total > 2")  # of two, one is the hub of the other
     open_keys = open_keys.select("key", F.col("most.root").alias("main"), F.col("most.members").alias("passive"), (F.col("total") - F.col("most.members")).alias("active"))
     loaded = keep(placed.join(open_keys, "key").join(nodes.select("sid", "n", F.size("sketch").alias("length")), "sid"), "open")
     longest = loaded.groupBy("key").agg(F.max("length").alias("longest"))
@@ -372,33 +379,42 @@ def open_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, put_out: l
     blocks = lambda n: F.ceil(F.col(n) / F.col("block_rows")).cast("int")
     members = loaded.join(longest, "key").withColumn("block_rows", block_rows).withColumns({"first": blocks("active"), "second": blocks("passive"), "is_main": F.col("root") == F.col("main")})
     dealt = F.when(F.col("is_main"), F.col("first") + F.pmod(F.xxhash64("sid"), F.col("second"))).otherwise(F.pmod(F.xxhash64("sid"), F.col("first"))).cast("int")
-    members = keep(members.select("key", "sid", "root", "hub", "n", "first", "second", "is_main", "length", dealt.alias("block")), "members")
+    members = keep(members.select("key", "sid", "roots", "hub", "n", "first", "second", "is_main", "length", dealt.alias("block")), "members")
     meets = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("first")).otherwise(F.col("first") + F.col("second")) - 1)
     unit = lambda x, y: {"x": F.least(x, y), "y": F.greatest(x, y), "bucket": F.pmod(F.xxhash64("key", F.least(x, y), F.greatest(x, y)), F.lit(buckets))}
-    size = members.agg(F.sum((F.col("length") * 8 + 80) * F.size(meets))).first()[0] or 0
+    size = members.agg(F.sum((F.col("length") * 8 + 80 + 8 * len(earlier)) * F.size(meets))).first()[0] or 0
     buckets = max(1, int(size) // BUCKET_BYTES)
-    met = members.withColumn("other", F.explode(meets)).withColumns(unit("block", "other")).select("bucket", "key", "x", "y", "sid", "root", "hub", "n", "block")
+    met = members.withColumn("other", F.explode(meets)).withColumns(unit("block", "other")).select("bucket", "key", "x", "y", "sid", "roots", "hub", "n", "block")
     met = met.join(nodes.select("sid", "sketch"), "sid")
-    found = put_out or [shared.sparkSession.createDataFrame([], "key long, a long, b long")]
-    of = lambda x: members.select("key", F.col("sid").alias(x), F.col("block").alias(f"at_{x}"))
-    known = functools.reduce(DataFrame.unionByName, found).join(of("a"), ["key", "a"]).join(of("b"), ["key", "b"])
-    known = known.withColumns(unit("at_a", "at_b")).select("bucket", "key", "x", "y", "a", "b")
 
-    def compare(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "x", "y", "sid"], kind="stable")
-        key, first, second, sid, root, hub, n, block, sketches = (rows[c].to_numpy() for c in ("key", "x", "y", "sid", "root", "hub", "n", "block", "sketch"))
-        before = {u: g[["a", "b"]].to_numpy() for u, g in known.groupby(["key", "x", "y"])} if len(known) else {}
+        key, first, second, sid, hub, n, block, sketches = (rows[c].to_numpy() for c in ("key", "x", "y", "sid", "hub", "n", "block", "sketch"))
+        roots = np.stack(rows["roots"].to_list(), axis=1)  # one row a turn
         ends = np.flatnonzero((key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])) + 1
         out = [np.empty((0, 3), np.int64)]
-        for low, high in itertools.pairwise([0, *ends.tolist(), len(rows)] if len(rows) else []):
+        for low, high in itertools.pairwise([0, *ends.tolist(), len(rows)]):
             at = slice(low, high)
-            pairs = may_link(sid[at], root[at], n[at], list(sketches[at]), block[at], hub[low], before.get((key[low], first[low], second[low])), num, den)
-            chosen = nearest_pairs(sid[at], root[at], pairs, turn)
+            if (roots[-1, at] == roots[-1, low]).all():
+                continue
+            pairs = may_link(sid[at], roots[0, at], n[at], list(sketches[at]), block[at], hub[low], None, num, den)
+            chosen = pairs_of_turn(sid[at], roots[:, at], pairs)
             out.append(np.c_[np.full(len(chosen), key[low]), chosen])
         table = np.concatenate(out)
         return pd.DataFrame({"key": table[:, 0], "a": table[:, 1], "b": table[:, 2]})
 
-    return met.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(compare, "key long, a long, b long")
+    return met.groupBy("bucket").applyInPandas(compare, "key long, a long, b long")
+
+
+def pairs_of_turn(sid: np.ndarray, roots: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """(a, b) that ``nearest_pairs`` chooses in the turn of the last row of ``roots``, of those not chosen in the turns of the rows before."""
+    for turn, root in enumerate(roots):
+        pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
+        chosen = nearest_pairs(sid, root, pairs, turn)
+        if turn + 1 < len(roots):
+            number = np.array([len(sid), 1])
+            pairs = pairs[~np.isin(pairs @ number, np.searchsorted(sid, chosen) @ number)]
+    return chosen
 
 
 def distances(sketches: dict[int, np.ndarray], lengths: np.ndarray, low: int, high: int) -> np.ndarray:

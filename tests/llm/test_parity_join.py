@@ -205,6 +205,49 @@ def test_a_key_of_very_many_sets_moves_few_rows(spark):
         df.unpersist()
 
 
+def test_pairs_put_out_before_are_found_again_from_earlier_roots(monkeypatch):
+    """As with pairs carried from turn to turn: each turn chooses of those left, whatever has grown together since."""
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(parity_join, "FORESTS", (2, 3))
+    monkeypatch.setattr(parity_join, "MOST_PAIRS", 4)
+    u = np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sid, n, marks, block = np.sort(rng.permutation(10**6)[:60]), np.full(60, 100), [sketch(u)] * 60, np.zeros(60, int)
+    history, known = sid[None].copy(), np.empty((0, 2), np.int64)
+    for turn in range(12):
+        want = nearest_pairs(sid, history[-1], may_link(sid, history[-1], n, marks, block, -1, known, 80, 100), turn)
+        got = parity_join.pairs_of_turn(sid, history, may_link(sid, history[0], n, marks, block, -1, None, 80, 100))
+        assert got.tolist() == want.tolist()
+        known, root = np.concatenate([known, want]), history[-1].copy()
+        for a, b in want[: 3 * (turn < 8)].tolist():  # a few of them link
+            x, y = root[sid == a][0], root[sid == b][0]
+            root[(root == x) | (root == y)] = min(x, y)
+        history = np.vstack([history, root])
+    assert len(got) == 0 and len(np.unique(root)) > 1
+
+
+def test_no_pairs_travel_between_turns(spark, monkeypatch):
+    """Pairs just below the threshold need several turns; plans of later ones hold members, and no pairs (a, b)."""
+    rng, rows = random.Random(5), []
+    for size, runs in ((600, 16), (604, 17), (608, 18), (500, 8), (604, 16), (606, 17)):
+        text = [f"w{i}" for i in range(size)]
+        for i in rng.sample(range(0, size // 8), runs // 2):
+            text[i * 8] = f"c{rng.random()}"
+        rows.append((len(rows), " ".join(text)))
+    turns, real = [], parity_join.open_pairs
+
+    def watched(*args, **kwargs):
+        found = real(*args, **kwargs)
+        joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+        turns.append((len(joins), "CoGroup" in found._jdf.queryExecution().optimizedPlan().toString()))
+        return found
+
+    monkeypatch.setattr(parity_join, "open_pairs", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in classes(docs, 5, 80, 100).collect()), key=repr)
+    assert got == brute(rows, 5, 80, 100)
+    assert len(turns) > 1 and set(turns) == {(1, False)}  # the sketches' join
+
+
 def test_clashing_names_are_told_apart(spark):
     rows = [(0, "a b c d e"), (1, "p q r s t u"), (2, "a b c d e"), (3, "x"), (4, "P q r s t u")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
