@@ -20,11 +20,14 @@ bits follow d, 1,024 at least, and longer sketches fold to shorter ones), and la
 Classes. Equal sets are one node. Among those that share a key, each is compared with one hub, so a group of
 n costs n comparisons; connected components follow from the links found. Where the members of a key still lie
 in different components, pairs across these are compared by sketches in memory, and of those that may link
-only the nearest that make a few spanning forests over the components are counted. Members of a key's largest
-component are not compared with each other, so a large group with few strays costs few rows. That is repeated,
-with pairs that a key put out before left out and with more forests at a time, until no key puts out a pair:
-no group is expanded into its pairs, and no link between components is lost. A key of n sets that are all of
-different components moves n * n / BLOCK_ROWS rows of sketches; the order of keys makes such keys rare.
+only the nearest that make a spanning forest over the components are put out and counted. Members of a key's
+largest component are not compared with each other, so a large group with few strays costs few rows. That is
+repeated once, with pairs that a key put out before left out. Members that may still link then are put out as a
+spanning forest over the members; its trees, those of all keys taken together, are groups whose members meet with
+their shingles, all pairs that may link are counted in memory, and a spanning forest of the links found comes out.
+So each step puts out fewer rows than it reads members, however many pairs may link and fail: no group is expanded
+into its pairs, and no link between components is lost. A key of n sets that are all of different components moves
+n * n / BLOCK_ROWS rows of sketches; the order of keys makes such keys rare.
 
 Empty and null texts have no shingles and link with nothing. Equal rows are members of one class; a null
 doc_id never names a class that has others. Extra columns are not read; an empty table gives an empty table.
@@ -52,10 +55,11 @@ _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np
 SKETCH_BITS, SKETCH_FACTOR = 1024, 8
 #: A set of sids up to this many rows (16 bytes each) may be broadcast to filter a scan.
 BROADCAST_ROWS = 500_000
-#: Spanning forests that a unit puts out in its first and second round; then pairs, this many times its members.
-FORESTS, MOST_PAIRS = (8, 64), 512
+#: Spanning forests of pairs that are counted in a unit's first and second round; then pairs, this many times its members.
+FORESTS, MOST_PAIRS = (1, 1), 512
 #: Rows and bytes of sketches of a block, two of which meet in memory, and bytes of what one task gets at a time.
 BLOCK_ROWS, BLOCK_BYTES, BUCKET_BYTES = 1_024, 8 << 20, 2 << 20
+NOT_FOUND = "a document of the table was not found again"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -258,7 +262,7 @@ def counted(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, linked) of the pairs (a, b), by the exact number of common shingles."""
     sx, sy = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sx")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sy"))
     seen = F.col("sx").isNotNull() & F.col("sy").isNotNull()
-    common = F.when(seen, F.size(F.array_intersect("sx", "sy"))).otherwise(F.raise_error(F.lit("a document of the table was not found again")).cast("int"))
+    common = F.when(seen, F.size(F.array_intersect("sx", "sy"))).otherwise(F.raise_error(F.lit(NOT_FOUND)).cast("int"))
     found = pairs.join(sy, "b", "left").join(sx, "a", "left").withColumn("common", common)
     linked = F.col("common") * den >= (F.size("sx") + F.size("sy") - F.col("common")) * num
     return found.select("a", "b", linked.alias("linked"))
@@ -341,6 +345,10 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
             found = keep(open_pairs(shared, roots, nodes, earlier, num, den, turn, keep), "found")
             if found.isEmpty():
                 break
+            if turn == len(FORESTS):
+                tested.append(keep(links_of_groups(found, roots, nodes, sets, num, den, turn, keep), "tested"))
+                roots = components(functools.reduce(DataFrame.unionByName, tested).where("linked"), keep)
+                break
             earlier.append((roots, keep(found.select("key").distinct(), "open_keys")))
             pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
             tested.append(keep(counted(pairs, sets, num, den), "tested"))
@@ -352,9 +360,21 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
         return materialize(rows.select("doc_id", "hash", F.col("n").alias("n_shingles"), "sid", "root", component.alias("component_id")), "members")
 
 
+def links_of_groups(found: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int, turn: int, keep: Keep) -> DataFrame:
+    """(a, b, linked): links that join all components of ``roots`` between which the groups that ``found`` spans have any."""
+    groups = components(found.select("a", "b").distinct(), keep).select(F.col("root").alias("key"), "sid", F.col("root").alias("hub"))
+    shingles = F.coalesce("shingles", F.raise_error(F.lit(NOT_FOUND)).cast("array<long>")).alias("shingles")
+    whole = keep(nodes.join(groups.select("sid"), "sid").join(sets, "sid", "left").select("sid", "n", "sketch", shingles), "whole")
+    links = open_pairs(groups, roots, whole, [], num, den, turn, keep)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("linked"))
+
+
 def open_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, earlier: list[tuple[DataFrame, DataFrame]], num: int, den: int, turn: int, keep: Keep) -> DataFrame:
     """(key, a, b): pairs of different components that share a key and may link, without those that the key put out before.
 
+    After the turns of FORESTS a spanning forest of them over the members. If ``nodes`` have shingles, pairs are counted
+    here, and a spanning forest over the components of those that link is returned; nothing was compared with the hub then.
+
     The members of a key's largest component are passive: they meet active ones only. Active members are dealt to
     the first blocks, passive ones to the rest, and each active block meets every block in one unit, as large as two
     blocks; units are dealt to buckets of about BUCKET_BYTES, so neither a large key nor many small ones fill a task.
@@ -362,6 +382,9 @@ def open_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, earlier: l
     ``earlier`` holds (roots, keys that put out pairs) of the turns before. Members carry their roots of every turn and
     are dealt as in the first, so a unit finds again, in memory, what it put out before; no pairs travel for that.
     """
+    exact = "shingles" in nodes.columns
+    marks = ["sketch", "shingles"] if exact else ["sketch"]
+    length = sum((F.size(c) for c in marks), F.lit(0)).alias("length")
     placed = shared
     for i, found in enumerate([*(r for r, _ in earlier), roots]):
         placed = placed.join(found.select("sid", F.col("root").alias(f"root{i}")), "sid", "left").withColumn(f"root{i}", F.coalesce(f"root{i}", "sid"))
@@ -371,9 +394,9 @@ def open_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, earlier: l
     placed = keep(placed.select("key", "sid", "hub", F.col(history[0]).alias("root"), F.col(history[-1]).alias("now"), F.array(*history).alias("roots")), "placed")
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("members"), F.min("now").alias("least"), F.max("now").alias("last"))
     total, most = F.sum("members").alias("total"), F.max(F.struct("members", "root")).alias("most")
-    open_keys = sizes.groupBy("key").agg(total, most, F.min("least").alias("least"), F.max("last").alias("last")).where("least < last and total > 2")  # of two, one is the hub of the other
+    open_keys = sizes.groupBy("key").agg(total, most, F.min("least").alias("least"), F.max("last").alias("last")).where("least < last").where(F.lit(exact) | (F.col("total") > 2))  # of two, one is the hub of the other
     open_keys = open_keys.select("key", F.col("most.root").alias("main"), F.col("most.members").alias("passive"), (F.col("total") - F.col("most.members")).alias("active"))
-    loaded = keep(placed.join(open_keys, "key").join(nodes.select("sid", "n", F.size("sketch").alias("length")), "sid"), "open")
+    loaded = keep(placed.join(open_keys, "key").join(nodes.select("sid", "n", length), "sid"), "open")
     longest = loaded.groupBy("key").agg(F.max("length").alias("longest"))
     block_rows = F.greatest(F.lit(16), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("longest"))))).cast("int")
     blocks = lambda n: F.ceil(F.col(n) / F.col("block_rows")).cast("int")
@@ -385,11 +408,11 @@ def open_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, earlier: l
     size = members.agg(F.sum((F.col("length") * 8 + 80 + 8 * len(earlier)) * F.size(meets))).first()[0] or 0
     buckets = max(1, int(size) // BUCKET_BYTES)
     met = members.withColumn("other", F.explode(meets)).withColumns(unit("block", "other")).select("bucket", "key", "x", "y", "sid", "roots", "hub", "n", "block")
-    met = met.join(nodes.select("sid", "sketch"), "sid")
+    met = met.join(nodes.select("sid", *marks), "sid")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "x", "y", "sid"], kind="stable")
-        key, first, second, sid, hub, n, block, sketches = (rows[c].to_numpy() for c in ("key", "x", "y", "sid", "hub", "n", "block", "sketch"))
+        key, first, second, sid, hub, n, block, sketches, sets = (rows[c].to_numpy() for c in ("key", "x", "y", "sid", "hub", "n", "block", "sketch", marks[-1]))
         roots = np.stack(rows["roots"].to_list(), axis=1)  # one row a turn
         ends = np.flatnonzero((key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])) + 1
         out = [np.empty((0, 3), np.int64)]
@@ -397,8 +420,14 @@ def open_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, earlier: l
             at = slice(low, high)
             if (roots[-1, at] == roots[-1, low]).all():
                 continue
-            pairs = may_link(sid[at], roots[0, at], n[at], list(sketches[at]), block[at], hub[low], None, num, den)
-            chosen = pairs_of_turn(sid[at], roots[:, at], pairs)
+            pairs = may_link(sid[at], roots[0, at], n[at], list(sketches[at]), block[at], None if exact else hub[low], None, num, den)
+            if exact:
+                chosen = forest_of_links(sid[at], roots[0, at], list(sets[at]), pairs, num, den)
+            elif turn < len(FORESTS):
+                chosen = pairs_of_turn(sid[at], roots[:, at], pairs)
+            else:
+                left = pairs_left(sid[at], roots[:, at], pairs)
+                chosen = sid[at][left[spanning_forest(np.arange(high - low), left)]]
             out.append(np.c_[np.full(len(chosen), key[low]), chosen])
         table = np.concatenate(out)
         return pd.DataFrame({"key": table[:, 0], "a": table[:, 1], "b": table[:, 2]})
@@ -406,15 +435,50 @@ def open_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, earlier: l
     return met.groupBy("bucket").applyInPandas(compare, "key long, a long, b long")
 
 
-def pairs_of_turn(sid: np.ndarray, roots: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """(a, b) that ``nearest_pairs`` chooses in the turn of the last row of ``roots``, of those not chosen in the turns of the rows before."""
+def pairs_left(sid: np.ndarray, roots: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Those ``pairs`` of different components in the turn of the last row of ``roots`` that the turns of the rows before did not choose."""
+    number = np.array([len(sid), 1])
     for turn, root in enumerate(roots):
         pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
-        chosen = nearest_pairs(sid, root, pairs, turn)
         if turn + 1 < len(roots):
-            number = np.array([len(sid), 1])
-            pairs = pairs[~np.isin(pairs @ number, np.searchsorted(sid, chosen) @ number)]
-    return chosen
+            chosen = np.searchsorted(sid, nearest_pairs(sid, root, pairs, turn))
+            pairs = pairs[~np.isin(pairs @ number, chosen @ number)]
+    return pairs
+
+
+def pairs_of_turn(sid: np.ndarray, roots: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """(a, b) that ``nearest_pairs`` chooses in the turn of the last row of ``roots``, of those not chosen in the turns of the rows before."""
+    return nearest_pairs(sid, roots[-1], pairs_left(sid, roots, pairs), len(roots) - 1)
+
+
+def common_shingles(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Numbers of common shingles of the sets at the places (i, j) of ``pairs``."""
+    ids, starts = np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum([0, *map(len, sets)])
+    of = [ids[low:high] for low, high in itertools.pairwise(starts)]
+    has, out = np.zeros(len(ids), bool), np.empty(len(pairs), np.int64)
+    order = np.argsort(pairs[:, 0], kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(pairs[order, 0])) + 1):
+        first = of[pairs[at[0], 0]]
+        has[first] = True
+        out[at] = [np.count_nonzero(has[of[j]]) for j in pairs[at, 1]]
+        has[first] = False
+    return out
+
+
+def forest_of_links(sid: np.ndarray, root: np.ndarray, sets: list[np.ndarray], pairs: np.ndarray, num: int, den: int) -> np.ndarray:
+    """(a, b) of those ``pairs`` of places that link and join components: rounds as in ``classes``, in memory, until no pair is left."""
+    place, size, out = np.arange(len(sid)), np.array([len(x) for x in sets]), []
+    for turn in itertools.count():
+        pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
+        if not len(pairs):
+            return sid[np.array(out, np.int64).reshape(-1, 2)]
+        chosen = nearest_pairs(place, root, pairs, turn)
+        both = common_shingles(sets, chosen)
+        links = chosen[both * den >= (size[chosen].sum(axis=1) - both) * num]
+        for a, b in links[spanning_forest(root, links)].tolist():
+            out.append((a, b))
+            root = np.where(root == root[b], root[a], root)
+        pairs = pairs[~np.isin(pairs @ [len(sid), 1], chosen @ [len(sid), 1])]
 
 
 def distances(sketches: dict[int, np.ndarray], lengths: np.ndarray, low: int, high: int) -> np.ndarray:
@@ -433,11 +497,11 @@ def distances(sketches: dict[int, np.ndarray], lengths: np.ndarray, low: int, hi
     return out
 
 
-def may_link(sid: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], block: np.ndarray, hub: int, known: np.ndarray | None, num: int, den: int) -> np.ndarray:
+def may_link(sid: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], block: np.ndarray, hub: int | None, known: np.ndarray | None, num: int, den: int) -> np.ndarray:
     """Places (i, j), i < j, of members of different components that may link, nearest first. ``sid`` is sorted.
 
     Where members are of two blocks only pairs across them are looked at, as each block meets itself elsewhere.
-    The hub was compared with all before; so were the pairs (a, b) in ``known``.
+    The hub, if there is one, was compared with all before; so were the pairs (a, b) in ``known``.
     """
     across, found, apart_of = len(np.unique(block)) > 1, [], []
     lengths = np.array([len(x) for x in sketches])
@@ -446,8 +510,9 @@ def may_link(sid: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[np
     if known is not None:
         i, j = np.searchsorted(sid, known[:, 0]), np.searchsorted(sid, known[:, 1])
         done[i, j] = done[j, i] = True
-    done[sid == hub] = True
-    done[:, sid == hub] = True
+    if hub is not None:
+        done[sid == hub] = True
+        done[:, sid == hub] = True
     step = max(1, 262_144 // max(1, len(sid)))  # rows compared with all others at once
     for low in range(0, len(sid), step):
         rows = np.arange(low, min(low + step, len(sid)))

@@ -256,3 +256,67 @@ def test_clashing_names_are_told_apart(spark):
     named = parity_join.named_apart(spark.createDataFrame(table[["doc_id", "n", "sid", "high"]]), parity_join.materialize)
     got = {r.doc_id: r.sid for r in named.collect()}
     assert got[0] == got[2] and got[1] == got[4] and len({*got.values()}) == 3
+
+
+def test_a_group_puts_out_fewer_pairs_than_it_reads_members(spark, monkeypatch):
+    """Texts of one template; nearly all pairs may link by their sketches and fail. No step's rows grow with the square of a group's size."""
+    rng, rows, seen, ended = random.Random(9), [], [], []
+    base = [f"w{i}" for i in range(504)]
+    for i in range(40):
+        text = list(base)
+        for at in rng.sample(range(100), 5 if i % 10 == 0 else rng.choice((6, 7))):  # each changed word changes five shingles
+            text[at * 5 + 2] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    real, last = parity_join.open_pairs, parity_join.links_of_groups
+
+    def watched(*args):
+        written, keep = {}, args[-1]
+
+        def kept(df, name):
+            written[name] = keep(df, name)
+            return written[name]
+
+        found = keep(real(*args[:-1], kept), "seen")
+        moved = written["members"].select(F.sum(F.when(F.col("is_main"), F.col("first")).otherwise(F.col("first") + F.col("second")))).first()[0] or 0
+        seen.append((found.count(), moved))
+        return found
+
+    def counted(*args):
+        ended.append(args)
+        return last(*args)
+
+    monkeypatch.setattr(parity_join, "open_pairs", watched)
+    monkeypatch.setattr(parity_join, "links_of_groups", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in classes(docs, 5, 80, 100).collect()), key=repr)
+    want = brute(rows, 5, 80, 100)
+    assert got == want and 1 < len({c for *_, c in want}) < 40
+    assert len(ended) == 1 and len(seen) == 4 and seen[0][1] > 40
+    assert all(found <= moved for found, moved in seen)
+
+
+def test_links_of_failing_groups_are_counted_in_memory(monkeypatch):
+    """As brute force, whatever a round takes at a time; no more rows than join components."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(parity_join, "MOST_PAIRS", 2)
+    whole, sets = rng.integers(0, 1 << 62, 130), []
+    for _ in range(60):
+        sets.append(np.unique(np.r_[rng.permutation(whole)[: rng.integers(112, 120)], rng.integers(0, 1 << 62, 4)]))
+    sid, root = np.sort(rng.permutation(10**6)[:60]), np.repeat(np.arange(30), 2)
+    pairs = rng.permutation([p for p in itertools.combinations(range(60), 2)])
+    both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in pairs])
+    assert parity_join.common_shingles(sets, pairs).tolist() == both.tolist()
+    links = both * 100 >= (np.array([len(sets[i]) + len(sets[j]) for i, j in pairs]) - both) * 80
+    assert 0 < links.sum() < len(links)
+    out = parity_join.forest_of_links(sid, root, sets, pairs, 80, 100)
+    assert len(out) < 30 and {*map(tuple, out.tolist())} <= {*map(tuple, sid[pairs[links]].tolist())}
+    merge = lambda found: [min(x) for x in components_of(root, found)]
+    assert merge(np.searchsorted(sid, out)) == merge(pairs[links])
+
+
+def components_of(root, pairs):
+    """The set of places of each place's component."""
+    label = root.copy()
+    for i, j in pairs:
+        label[label == label[j]] = label[i]
+    return [set(np.flatnonzero(label == x).tolist()) for x in label]
