@@ -45,6 +45,25 @@ def test_training_in_spark_gives_the_same_merges(spark):
         assert want.merges and bpe.train(docs, 40, corrected=corrected, most_on_driver=3) == want
 
 
+def test_training_in_rounds_gives_the_same_merges(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdé\U0001f600▁"), rng.integers(1, 7), p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.05])) for _ in range(400)]
+    rows = [(None if i == 3 else i, " ".join(words[i * 20 : i * 20 + 20])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for together, vocab_size, least in ((16, 2000, 2), (2, 2000, 1), (16, 20, 2), (1, 2000, 5)):
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        want = bpe.train(docs, vocab_size, least)
+        assert len(want.merges) > 3 and bpe.train(docs, vocab_size, least, most_on_driver=3) == want
+
+
+def test_training_holds_few_word_types_on_the_driver(spark, monkeypatch):
+    docs = spark.range(120).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(id * 1000, id * 1000 + 999), x -> concat('w', x)), ' ')").alias("text"))
+    want = bpe.learn([(f"w{i}", 1) for i in range(120_000)])
+    learn, given = bpe.learn, []
+    monkeypatch.setattr(bpe, "learn", lambda words, *a: given.append(len(words)) or learn(words, *a))
+    assert bpe.train(docs) == want and max(given, default=0) <= 100_000
+
+
 def test_merge_does_not_overlap(spark):
     for word in ("aaaa", "aaa", "abaab", ""):
         got = spark.createDataFrame([(list(word),)], "s array<string>").select(bpe.merge_symbols(F.col("s"), "a", "a").alias("m")).first()["m"]
