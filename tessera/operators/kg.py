@@ -15,25 +15,32 @@ VERB = rf"(?i)^({CHARS}{{1,80}}?)\s+%s\s+({CHARS}{{1,120}})$"
 ARROW = rf"^({CHARS}{{1,80}})\s*->\s*({CHARS}{{1,120}})$"
 
 
-def _match(sentence: Column, pattern: str, rel: str) -> Column:
+#: Relations and their patterns, in the order in which a sentence's triples stand.
+RULES = (("is_a", IS_A), *((v, VERB % v) for v in VERBS), ("->", ARROW))
+
+
+def _match(sentence: Column, seq: int) -> Column:
+    rel, pattern = RULES[seq]
     part = lambda g: strip(F.regexp_extract(sentence, pattern, g))
-    return F.when(sentence.rlike(pattern), F.struct(part(1).alias("head"), F.lit(rel).alias("rel"), part(2).alias("tail")))
+    return F.when(sentence.rlike(pattern), F.struct(F.lit(seq).alias("seq"), part(1).alias("head"), F.lit(rel).alias("rel"), part(2).alias("tail")))
 
 
 def sentence_triples(sentence: Column, corrected: bool = False) -> Column:
-    """Array of (head, rel, tail): is-a, then one per verb, then the arrow form.
+    """Array of (seq, head, rel, tail): is-a, then one per verb, then the arrow form; seq tells which, from 0.
 
     A sentence that ends in punctuation matches nothing; ``corrected`` takes the punctuation off first.
     """
     s = F.regexp_replace(sentence, r"[.!?]+$", "") if corrected else sentence
-    found = [_match(s, IS_A, "is_a"), *[_match(s, VERB % v, v) for v in VERBS], _match(s, ARROW, "->")]
-    return F.filter(F.array(*found), lambda t: t.isNotNull())
+    return F.filter(F.array(*(_match(s, i) for i in range(len(RULES)))), lambda t: t.isNotNull())
 
 
 def triples(texts: DataFrame, corrected: bool = False) -> DataFrame:
-    """(doc_id, sent, seq, head, rel, tail); repeats are kept, (doc_id, sent, seq) is their order."""
+    """(doc_id, sent, seq, head, rel, tail); repeats are kept, (doc_id, sent, seq) is their order.
+
+    ``seq`` is the place of the pattern, so it also orders sentences of different texts that share a doc_id: is-a first, arrows last.
+    """
     split = texts.select("doc_id", F.posexplode(sentences("text")).alias("sent", "sentence"))
-    return split.select("doc_id", "sent", F.posexplode(sentence_triples(F.col("sentence"), corrected)).alias("seq", "t")).select("doc_id", "sent", "seq", "t.head", "t.rel", "t.tail")
+    return split.select("doc_id", "sent", F.explode(sentence_triples(F.col("sentence"), corrected)).alias("t")).select("doc_id", "sent", "t.seq", "t.head", "t.rel", "t.tail")
 
 
 def nodes(graph: DataFrame) -> DataFrame:

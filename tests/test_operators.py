@@ -188,6 +188,13 @@ def test_graph(spark):
     assert kg.to_dot(g).first()["dot"].startswith("digraph G {")
 
 
+def test_texts_that_share_a_doc_id_keep_the_order_of_the_patterns(spark):
+    graph = kg.triples(spark.createDataFrame([(7, "Part1 -> Size2"), (7, "blue bolt uses BRASS"), (7, "A bolt is a part")], "doc_id long, text string"))
+    lines = kg.to_dot(graph).first()["dot"].split("\n")[2:-1]
+    assert [x.split("label=")[1] for x in lines] == ['"is_a"];', '"uses"];', '"->"];']
+    assert '"triples":[["A bolt","is_a","part"],["blue bolt","uses","BRASS"],["Part1","->","Size2"]]' in kg.to_json(graph).first()["json"]
+
+
 def test_synth(spark):
     texts = spark.createDataFrame([(0, "RAG uses chunks. Longer words here. a b. it Retrieves docs"), (1, "")], "doc_id long, text string")
     got = synth.questions(texts, 5).collect()
