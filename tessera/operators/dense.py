@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,11 @@ from tessera.functions.vectors import dot, doubles, unit
 BROADCAST_QUERIES = 5_000
 #: Vectors of a block where there are several blocks of queries.
 BLOCK_ROWS = 8_192
+#: Scores that a task holds at once, and texts that it embeds at once.
+SCORES_HELD = 1_000_000
+TEXTS_HELD = 256
+#: Words whose hashes a worker keeps.
+HASHED_WORDS = 50_000
 
 
 def store(vectors: DataFrame, normalize: bool = True, dims: int | None = None) -> DataFrame:
@@ -33,11 +39,16 @@ def store(vectors: DataFrame, normalize: bool = True, dims: int | None = None) -
 
 
 def embed_texts(texts: DataFrame, embed: Callable[[str], np.ndarray]) -> DataFrame:
-    """``texts`` with ``vec`` from a Python embedder, by Arrow batches."""
+    """``texts`` with ``vec`` from a Python embedder, by Arrow batches of which few texts at a time become Python objects."""
 
-    @F.pandas_udf("array<double>")
-    def run(column: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(embed(t or ""), float).tolist() for t in column])
+    @F.arrow_udf("array<double>")
+    def run(column: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, len(column), TEXTS_HELD):
+            found = [np.asarray(embed(t or ""), float) for t in column.slice(at, TEXTS_HELD).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
 
     return texts.withColumn("vec", run("text"))
 
@@ -57,7 +68,7 @@ def hashed_embedder(dims: int = 64) -> Callable[[str], np.ndarray]:
         for word in re.findall(r"\w+", text):
             h = known.get(word)
             if h is None:
-                if len(known) > 200_000:
+                if len(known) >= HASHED_WORDS:
                     known.clear()
                 h = known[word] = int(hashlib.md5(word.lower().encode()).hexdigest()[:8], 16)
             out[h % dims] += 1.0 if h >> 31 else -1.0
@@ -81,15 +92,23 @@ def top_k(scored: DataFrame, k: int, tie: str = "id", digits: int = 9) -> DataFr
 
 
 def _best_of_block(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of the k best of each query, by the order of ``top_k``; all equals of the k-th are kept."""
-    score = queries @ vectors.T
-    rounded = np.round(score, digits)
-    if k < len(ids):
-        least = np.partition(rounded, len(ids) - k, axis=1)[:, len(ids) - k]
-        q, v = np.nonzero(rounded >= least[:, None] - 1e-12)
-    else:
-        q, v = np.nonzero(np.ones_like(score, bool))
-    return q, ids[v], score[q, v]
+    """(query row, id, score) of the k best of each query, by the order of ``top_k``; all equals of the k-th are kept.
+
+    Queries are taken a few at a time, so the scores held do not grow with their number.
+    """
+    step = max(1, SCORES_HELD // max(1, len(ids)))
+    parts = []
+    for first in range(0, len(queries), step):
+        score = queries[first : first + step] @ vectors.T
+        if k < len(ids):
+            rounded = np.round(score, digits)
+            least = np.partition(rounded, len(ids) - k, axis=1)[:, len(ids) - k]
+            q, v = np.nonzero(rounded >= least[:, None] - 1e-12)
+        else:
+            q, v = np.nonzero(np.ones_like(score, bool))
+        parts.append((q + first, v, score[q, v]))
+    q, v, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return q, ids[v], score
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, normalize: bool = True, digits: int = 9) -> DataFrame:
