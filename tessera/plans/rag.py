@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.vectors import doubles, unit
 from tessera.operators import chunking, dense, packing, rerank, retrieval
 from tessera.operators.tracing import Tracer
 from tessera.sources.scratch import materialize
@@ -16,8 +17,7 @@ from tessera.sources.scratch import materialize
 def chunk_store(docs: DataFrame, embed: Callable[[str], np.ndarray], max_chars: int = 1000, overlap: int = 100) -> DataFrame:
     """(id, doc_id, chunk_id, text, vec): sentence chunks named "doc-chunk", with unit vectors."""
     chunks = chunking.sentence_chunks(docs, max_chars, overlap).withColumn("id", F.concat_ws("-", "doc_id", "chunk_id"))
-    embedded = dense.embed_texts(chunks, embed)
-    return embedded.join(dense.store(embedded.select("id", "vec")).drop("meta").withColumnRenamed("vec", "unit"), "id").select("id", "doc_id", "chunk_id", "text", F.col("unit").alias("vec"))
+    return dense.embed_texts(chunks, embed).select("id", "doc_id", "chunk_id", "text", unit(doubles("vec")).alias("vec"))
 
 
 def answer_contexts(docs: DataFrame, queries: DataFrame, embed: Callable[[str], np.ndarray], method: str = "rrf", k: int = 3, budget: int = 80, alpha: float = 0.5, tracer: Tracer | None = None) -> DataFrame:
