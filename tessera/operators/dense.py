@@ -113,24 +113,27 @@ def _best_of_block(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, normalize: bool = True, digits: int = 9) -> DataFrame:
     """(query_id, rank, id, score): the k best vectors (id, vec) for each query (query_id, qvec); equal scores by id."""
-    q = queries.select("query_id", (unit(doubles("qvec")) if normalize else doubles("qvec")).alias("qvec")).where("qvec is not null")
-    v = vectors.select("id", "vec").where("vec is not null")
+    q = queries.select("query_id", (unit(doubles("qvec")) if normalize else doubles("qvec")).alias("qvec"))
+    v = vectors.select("id", "vec")  # null vectors go in the function: a filter here would run an embedder in the plan twice
     kind = dict(q.dtypes)["query_id"]
     schema = f"query_id {kind}, id string, score double"
     if k <= 0:
         return v.sparkSession.createDataFrame([], f"query_id {kind}, rank int, id string, score double")
     few = q.limit(BROADCAST_QUERIES + 1).collect()  # at most one block and a row
     if len(few) <= BROADCAST_QUERIES:
+        few = [r for r in few if r["qvec"] is not None]
         names, matrix = [r["query_id"] for r in few], np.array([r["qvec"] for r in few], float)
 
         def against_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
+                b = b[b["vec"].notna()]
                 if len(b) and names:
                     at, ids, score = _best_of_block(b["id"].to_numpy(), np.stack(b["vec"]), matrix, k, digits)
                     yield pd.DataFrame({"query_id": [names[i] for i in at], "id": ids, "score": score})
 
         found = v.mapInPandas(against_all, schema)
     else:
+        q, v = q.where("qvec is not null"), v.where("vec is not null")
         n_queries = -(-q.count() // BROADCAST_QUERIES)
         n_vectors = max(1, -(-v.count() // BLOCK_ROWS))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -145,6 +145,15 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_search_embeds_each_text_once(spark, monkeypatch):
+    assert plan_of(QUERIES["vec_search_text"](spark, "/root/testdata/sf0.001")).count("ArrowEvalPython") == 1
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 1.0])], "id string, vec array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, None)], "query_id int, qvec array<double>")
+    for most in (5_000, 1):
+        monkeypatch.setattr(dense, "BROADCAST_QUERIES", most)
+        assert [r[:3] for r in dense.search(vectors, asked, 5).orderBy("rank").collect()] == [(0, 1, "a"), (0, 2, "c")]
+
+
 def test_whole_documents_meet_stated_queries_without_a_shuffle(spark):
     docs = spark.createDataFrame([(i, f"fox {'red ' * (i % 3)}{'sky' if i % 2 else ''}") for i in range(50)], "doc_id long, text string").repartition(3)
     asked = spark.createDataFrame([(0, "red fox red"), (1, "sky zzz"), (2, "")], "query_id int, text string")
